@@ -91,8 +91,8 @@ def _paired(hashes: Column, step: int) -> Column:
     return F.get(F.transform(F.array(hashes), shifted), F.lit(0))
 
 
-def _where(lines: str, flags: str, wanted: bool) -> Column:
-    return F.filter(lines, lambda x, i: F.get(F.col(flags), i) == wanted)
+def _lines(judged: str, wanted) -> Column:
+    return F.transform(F.filter(judged, wanted), lambda x: x["line"])
 
 
 def _words_in_repeated_windows(hashes: Column) -> Column:
@@ -142,21 +142,21 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
             )
             .otherwise(0)
             .cast("long"),
-            "__passed": F.transform("__lines", line_passes),
+            "__judged": F.transform("__lines", lambda x: F.struct(x.alias("line"), F.coalesce(line_passes(x), F.lit(False)).alias("ok"))),
         }
     )
     out = out.withColumns(
         {
             "n_dup_lines": (F.size("__worded") - F.size(F.array_distinct("__worded"))).cast("long"),
-            "clean_text": F.array_join(_where("__lines", "__passed", True), "\n"),
-            "clean_words": F.col("n_words") - common.n_words(F.array_join(_where("__lines", "__passed", False), "\n")),
+            "clean_text": F.array_join(_lines("__judged", lambda x: x["ok"]), "\n"),
+            "clean_words": F.col("n_words") - common.n_words(F.array_join(_lines("__judged", lambda x: ~x["ok"]), "\n")),
             "base_failed": (F.col("n_words") < MIN_WORDS)
             | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT),
         }
     )
     lost = F.col("n_words") - F.col("clean_words")
     out = out.withColumn("kept", ~F.col("base_failed") & (lost * 100 <= F.col("n_words") * MAX_LOST_PERCENT))
-    return out.drop("__words", "__lines", "__windows", "__worded", "__passed")
+    return out.drop("__words", "__lines", "__windows", "__worded", "__judged")
 
 
 def keep_clean(docs: DataFrame) -> DataFrame:
