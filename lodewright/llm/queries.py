@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, quality_rules, url_filter
+from . import chat_format, license_scan, mixing, packing, quality_rules, token_count, url_filter, wavelet_store
 from .common import table
 from .oracle import ORACLES
 
@@ -47,6 +47,17 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return wavelet_store.read(wavelet_store.write(docs, tokenizer_path("byte_bpe_50k.json"), end_id=0))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, rendered and read back; conversation -1 says the template's own control strings."""
     planted = spark.range(2).select(
@@ -71,14 +82,34 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.assess(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_words")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_source_mixing, op5_chat_format, op8_license_scan, op10_quality_rules)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_url_filter,
+        op3_source_mixing,
+        op4_token_store,
+        op5_chat_format,
+        op7_packing,
+        op8_license_scan,
+        op9_token_counts,
+        op10_quality_rules,
+    )
+}
 ORACLE_SQL = ORACLES
