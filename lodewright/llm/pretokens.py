@@ -21,6 +21,8 @@ import unicodedata
 
 import numpy as np
 
+from .span_hash import SpanHasher
+
 LETTER, DIGIT, OTHER, BLANK, SPACE, UNSURE = 0, 1, 2, 3, 4, 5
 #: Bytes of text that one numpy pass works on, and distinct pieces that a worker remembers.
 SLICE_BYTES = 2 << 20
@@ -48,16 +50,6 @@ def classes() -> np.ndarray:
     return out
 
 
-def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    base = np.uint64(seed)
-    inverse = np.uint64(pow(seed, -1, 1 << 64))
-    up, down = np.full(n, base), np.full(n, inverse)
-    up[0] = down[0] = 1
-    with np.errstate(over="ignore"):
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 class Pieces:
     """The pieces of some texts: ``buf`` (bytes), ``starts`` and ``ends`` (byte places), ``doc`` (text of each)."""
 
@@ -158,9 +150,7 @@ class Encoder:
         self.slot = np.full(1 << _SLOT_BITS, -1, np.int32)
         self.order = np.zeros(0, np.int64)
         self.sorted = np.zeros(0, np.uint64)
-        self.powers = [_powers(1 << 12, s) for s in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)]
-        rng = np.random.default_rng(7)
-        self.values = [rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+        self.hasher = SpanHasher()
 
     def plain(self, text: str) -> bool:
         """Whether the local cuts hold for a text, as far as its characters' classes do not tell."""
@@ -203,46 +193,9 @@ class Encoder:
         doc = np.searchsorted(begins, starts, "right") - 1
         return Pieces(buf, starts, ends, doc), whole
 
-    def hashes(self, p: Pieces) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each piece: polynomials over its bytes, together as good as the piece itself."""
-        out = []
-        longest = 1 << 12
-        with np.errstate(over="ignore"):
-            for (up, down), value in zip(self.powers, self.values, strict=True):
-                total = np.zeros(len(p.buf) + 1, np.uint64)
-                # Places count modulo the power table's length; a block's sums restart there.
-                n = len(p.buf)
-                terms = value[p.buf]
-                full = n - n % longest
-                terms[:full].reshape(-1, longest)[:] *= up
-                terms[full:] *= up[: n - full]
-                np.cumsum(terms, out=total[1:])
-                h = total[p.ends] - total[p.starts]
-                h *= down[p.starts % longest]
-                crossing = np.flatnonzero(p.starts // longest != (p.ends - 1) // longest)
-                for i in crossing.tolist():  # a piece over a block's end: hashed by itself
-                    h[i] = self._long(p.buf[p.starts[i] : p.ends[i]], value, up)
-                h ^= (p.ends - p.starts).astype(np.uint64) << np.uint64(56)
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-                out.append(h)
-        return out[0], out[1]
-
-    @staticmethod
-    def _long(piece: np.ndarray, value: np.ndarray, up: np.ndarray) -> np.uint64:
-        longest, base = len(up), up[1]
-        total, scale = np.uint64(0), np.uint64(1)
-        step = up[-1] * base
-        for i in range(0, len(piece), longest):
-            block = value[piece[i : i + longest]]
-            total += (block * up[: len(block)]).sum(dtype=np.uint64) * scale
-            scale *= step
-        return total
-
     def find(self, p: Pieces) -> np.ndarray:
         """The number of each piece in the table of known pieces; new ones are encoded by the library."""
-        key, check = self.hashes(p)
+        key, check = self.hasher(p.buf, p.starts, p.ends)
         slot = (key >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         known = self.slot[slot]
         hit = known >= 0

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing, packing, quality_rules, token_count, url_filter, wavelet_store
+from . import anisotropic_ann, chat_format, license_scan, minhash_forest, mixing, packing, quality_rules, token_count, url_filter, wavelet_store
 from .common import table
 from .oracle import ORACLES
 
 
+def op1_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisotropic_ann.search(table(spark, sf_dir, "embeddings"), anisotropic_ann.query_ids(F.col("vec_id")), k=20)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, judged at a fetch time that follows from its id, by lists that follow from its hosts."""
     captures = table(spark, sf_dir, "pages").select(
@@ -82,6 +86,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
@@ -102,10 +110,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_anisotropic_ann,
         op2_url_filter,
         op3_source_mixing,
         op4_token_store,
         op5_chat_format,
+        op6_minhash_forest,
         op7_packing,
         op8_license_scan,
         op9_token_counts,
