@@ -97,14 +97,15 @@ def annotation_box(annotation: Column) -> Column:
         return F.when(whole, F.when(corner & (w > x) & (h > y), box(x, y, w - x, h - y)).otherwise(box(x, y, w, h)))
 
     def mapped(v: Column) -> Column:
-        return F.when(v["x"].isNotNull() & v["y"].isNotNull() & v["w"].isNotNull() & v["h"].isNotNull(), v)
+        side = [F.try_element_at(v, F.lit(n)) for n in ("x", "y", "w", "h")]
+        return F.when(side[0].isNotNull() & side[1].isNotNull() & side[2].isNotNull() & side[3].isNotNull(), box(*side))
 
     def read(raw: Column) -> Column:
         return F.coalesce(
             bound(F.try_variant_get(raw, "$", "array<double>"), listed),
-            bound(F.try_variant_get(raw, "$", "struct<x:double,y:double,w:double,h:double>"), mapped),
+            bound(F.try_variant_get(raw, "$", "map<string,double>"), mapped),
         )
 
     given = F.try_variant_get(annotation, "$.bbox", "variant")
     other = F.coalesce(*[F.try_variant_get(annotation, f"$.{k}", "variant") for k in ("box", "bounding_box", "bbox_xywh")])
-    return bound(F.when(F.coalesce(~F.is_variant_null(given), F.lit(False)), given).otherwise(other), read)
+    return bound(F.when(given.isNotNull() & ~F.is_variant_null(given), given).otherwise(other), read)

@@ -62,10 +62,10 @@ def cache_key(backend: Column, model: Column, prompt: Column, system: Column | N
 
 def stub_answer(prompt: Column, responses: dict[str, str] | None = None) -> Column:
     """The offline model: given replies by trigger, fixed replies for extraction and judging, else a digest."""
-    out = None
+    out = F
     for trigger, reply in (responses or {}).items():
-        out = (out or F).when(prompt.contains(trigger), F.lit(reply))
-    out = (out or F).when(prompt.contains("Return ONLY valid JSON"), F.lit('{"entities": [], "relations": []}'))
+        out = out.when(prompt.contains(trigger), F.lit(reply))
+    out = out.when(prompt.contains("Return ONLY valid JSON"), F.lit('{"entities": [], "relations": []}'))
     out = out.when(F.lower(prompt).contains("faithfulness"), F.lit('{"faithfulness": 1.0, "relevance": 1.0}'))
     digest = F.substring(F.sha2(prompt, 256), 1, 8)
     return out.otherwise(F.concat(F.lit("Stub answer derived from the provided context ["), digest, F.lit("].")))

@@ -95,7 +95,7 @@ def random_floor(items: DataFrame, queries: DataFrame, k: int, seed: int = 42) -
         drawn = queries.select("query_id", F.posexplode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), "query_id", F.lit(i)), F.lit(n)) for i in draws])).alias("i", "at"))
     else:  # few items: all of them, in the order of a hash for the query
         order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "at"), "at")
-        drawn = queries.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long").alias("at")).withColumn("i", F.row_number().over(order))
+        drawn = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("at")).withColumn("i", F.row_number().over(order))
     drawn = drawn.groupBy("query_id", "at").agg(F.min("i").alias("i"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("i"))
     taken = drawn.withColumn("rank", rank).filter(F.col("rank") <= k).join(placed.select("at", "item_id"), "at")
