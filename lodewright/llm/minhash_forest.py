@@ -7,11 +7,9 @@ of the tree's own.  Neighbours in an order share the longest prefixes.  Classes
 before and after it, so the depth that makes a candidate adapts to how crowded the region is.
 In a crowded region the classes that agree most with the region's commonest slots (its hubs)
 are candidates with all of it, so a text with very many near copies still meets each of them.
-Candidates are filtered by their signatures and confirmed on their full shingle sets.
-
-What neighbours and hubs leave out in crowded regions is done exactly afterwards: classes of
-such a region that are not yet in one component are compared with each other, by signatures in
-blocks inside a task, and confirmed like the rest.
+Candidates are filtered by their signatures and confirmed on their full shingle sets, in two
+turns: first hubs and the nearest neighbours, then those other neighbours that the links so
+far have not brought into one component, as no link inside a component changes it.
 
 Components come from label propagation over the confirmed links, with pointer jumping; labels
 and links stay in tables in the shared folder.
@@ -43,6 +41,7 @@ TREES = 25
 PREFIX = 5
 DEPTH = 16
 NEIGHBOURS = 8
+NEAREST = 2
 HUBS = 3
 ROWS_PER_RANGE = 1 << 20
 BROADCAST_IDS = 1_000_000
@@ -181,34 +180,33 @@ def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[p
     apart = np.ones(len(rep), bool)
     apart[1:] = (tree[1:] != tree[:-1]) | (keys[1:, :PREFIX] != keys[:-1, :PREFIX]).any(1)
     region = np.cumsum(apart)
-    found_a, found_b = [], []
+    found = []
 
-    def add(a: np.ndarray, b: np.ndarray) -> None:
-        found_a.append(np.minimum(a, b))
-        found_b.append(np.maximum(a, b))
+    def add(a: np.ndarray, b: np.ndarray, turn: int) -> None:
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), turn)], 1)[a != b])
 
     for k in range(1, NEIGHBOURS + 1):
         i = np.flatnonzero(region[k:] == region[:-k])
         i = i[(keys[i, PREFIX:] == keys[i + k, PREFIX:]).sum(1) >= least_agreeing]
-        add(rep[i], rep[i + k])
+        add(rep[i], rep[i + k], 0 if k <= NEAREST else 1)
     edges = np.append(np.flatnonzero(apart), len(rep))
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if hi - lo > NEIGHBOURS + 1:
-            add(*_hub_pairs(keys[lo:hi], rep[lo:hi]))
-    a, b = np.concatenate(found_a), np.concatenate(found_b)
-    pairs = np.unique(np.stack([a, b], 1)[a != b], axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            add(*_hub_pairs(keys[lo:hi], rep[lo:hi]), 0)
+    pairs = np.unique(np.concatenate(found), axis=0)
     for i in range(0, len(pairs), 10_000):
-        part = pairs[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["a", "b"])
+        columns = [pa.array(c.copy()) for c in pairs[i : i + 10_000].T]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "turn"])
 
 
 def candidates(classes: DataFrame, n_classes: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of class representatives."""
+    """Distinct candidate pairs (a < b) of class representatives; ``turn`` 0 are hubs and nearest neighbours, 1 the rest."""
     spark = classes.sparkSession
     ranges = max(common.partitions(spark), n_classes * TREES // ROWS_PER_RANGE + 1)
     least = (DEPTH - PREFIX) // 2 + 1
     orders = trees(classes).repartitionByRange(ranges, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    return orders.mapInArrow(lambda batches: _pairs(batches, least), "a long, b long").distinct()
+    found = orders.mapInArrow(lambda batches: _pairs(batches, least), "a long, b long, turn long")
+    return found.groupBy("a", "b").agg(F.min("turn").alias("turn"))
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -279,7 +277,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all documents, classes (rep, class keys, signature), and confirmed links (a, b) between classes."""
+    """Sketches of all documents, classes (rep, class keys, signature), and confirmed links (a, b) that span the components."""
     rows = common.stage(sketch(docs, width), "near-sketches")
     classes = (
         rows.filter("n_shingles > 0")
@@ -288,10 +286,18 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame,
         .filter("rep is not null")
     )
     classes = common.stage(classes, "near-classes")
-    pairs = common.stage(_alike(candidates(classes, classes.count()), classes, percent / 100), "near-pairs")
-    wanted = common.stage(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id"), "near-wanted")
-    sets = common.stage(_sets(docs, wanted, width), "near-sets")
-    return rows, classes, common.stage(confirmed(pairs, sets, percent), "near-links")
+    pairs = common.stage(candidates(classes, classes.count()), "near-pairs")
+
+    def linked(some: DataFrame) -> DataFrame:
+        alike = common.stage(_alike(some, classes, percent / 100), "near-alike")
+        wanted = common.stage(alike.select("a").union(alike.select("b")).distinct().toDF("doc_id"), "near-wanted")
+        return common.stage(confirmed(alike, common.stage(_sets(docs, wanted, width), "near-sets"), percent), "near-links")
+
+    first = linked(pairs.filter("turn = 0").select("a", "b"))
+    labels = components(first)
+    apart = pairs.filter("turn = 1").join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+    apart = apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return rows, classes, first.unionByName(linked(apart))
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:

@@ -102,7 +102,7 @@ def schedule(docs: DataFrame) -> DataFrame:
     rows = rows.join(parts.withColumnRenamed("bucket", "__b"), F.col("source").eqNullSafe(F.col("__s")) & (F.col("bucket") == F.col("__b")))
     rows = rows.join(flows, F.col("source").eqNullSafe(F.col("__f"))).withColumn("start", F.col("offset") + F.col("inner"))
 
-    copies = F.greatest(F.lit(1), F.ceil((F.col("quota") - F.col("start")) / F.col("source_size")))
+    copies = F.greatest(F.lit(1), F.ceil((F.col("quota") - F.col("start")) / F.nullif(F.col("source_size"), F.lit(0))))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce(copies, F.lit(1)).cast("int") - 1)))
     first = F.col("copy") * F.col("source_size") + F.col("start")
     rows = rows.withColumns(
