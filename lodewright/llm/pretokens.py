@@ -109,7 +109,7 @@ def cut(cls: np.ndarray, code: np.ndarray, fresh: np.ndarray, joins_space: bool,
     if len(at):
         limit = np.append(np.flatnonzero(fresh), n)
         end = limit[np.searchsorted(limit, at, "right")]
-        get = lambda k: np.where(at + k < end, code[np.minimum(at + k, n - 1)], 0)
+        get = lambda k: np.where(at + k < end, code[np.minimum(at + k, n - 1)].astype(np.int64), 0)
         one, two = get(1), get(2)
         short = np.isin(one, [ord(c) for c in "stmd"])
         pair = one * 128 + two

@@ -81,7 +81,8 @@ def test_recall_and_exact_scores(spark):
     x = (rng.normal(size=(30, 24))[rng.integers(0, 30, 3000)] + 0.6 * rng.normal(size=(3000, 24))).astype(np.float32)
     x *= rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)
     rows = [(i, x[i].tolist(), "r") for i in range(3000)]
-    got = ann.search(frame(spark, rows), ann.query_ids(frame(spark, rows)["vec_id"])).collect()
+    df = frame(spark, rows)
+    got = ann.search(df, ann.query_ids(df["vec_id"])).collect()
     d = x.astype(np.float64)
     hits = 0
     for q in range(0, 3000, 20):
