@@ -7,9 +7,10 @@ of the tree's own.  Neighbours in an order share the longest prefixes.  Classes
 before and after it, so the depth that makes a candidate adapts to how crowded the region is.
 In a crowded region the classes that agree most with the region's commonest slots (its hubs)
 are candidates with all of it, so a text with very many near copies still meets each of them.
-Candidates are filtered by their signatures and confirmed on their full shingle sets, in two
-turns: first hubs and the nearest neighbours, then those other neighbours that the links so
-far have not brought into one component, as no link inside a component changes it.
+Candidates are filtered by their signatures and confirmed on their full shingle sets, in three
+turns: first hubs, then other hubs and the nearest neighbours, then the other neighbours.  A later
+turn leaves out pairs that the links so far have brought into one component, as no link inside a
+component changes it.
 
 Components come from label propagation over the confirmed links, with pointer jumping; labels
 and links stay in tables in the shared folder.
@@ -158,6 +159,7 @@ def trees(classes: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(keys: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each hub with the whole region, those of the first hub first."""
     common_slot = np.empty(DEPTH, keys.dtype)
     for k in range(DEPTH):
         values, n = np.unique(keys[:, k], return_counts=True)
@@ -188,11 +190,13 @@ def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[p
     for k in range(1, NEIGHBOURS + 1):
         i = np.flatnonzero(region[k:] == region[:-k])
         i = i[(keys[i, PREFIX:] == keys[i + k, PREFIX:]).sum(1) >= least_agreeing]
-        add(rep[i], rep[i + k], 0 if k <= NEAREST else 1)
+        add(rep[i], rep[i + k], 1 if k <= NEAREST else 2)
     edges = np.append(np.flatnonzero(apart), len(rep))
     for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         if hi - lo > NEIGHBOURS + 1:
-            add(*_hub_pairs(keys[lo:hi], rep[lo:hi]), 0)
+            a, b = _hub_pairs(keys[lo:hi], rep[lo:hi])
+            add(a[: hi - lo], b[: hi - lo], 0)
+            add(a[hi - lo :], b[hi - lo :], 1)
     pairs = np.unique(np.concatenate(found), axis=0)
     for i in range(0, len(pairs), 10_000):
         columns = [pa.array(c.copy()) for c in pairs[i : i + 10_000].T]
@@ -200,7 +204,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[p
 
 
 def candidates(classes: DataFrame, n_classes: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of class representatives; ``turn`` 0 are hubs and nearest neighbours, 1 the rest."""
+    """Distinct candidate pairs (a < b) of class representatives; ``turn``: 0 for first hubs, 1 for other hubs and nearest neighbours, 2 for the rest."""
     spark = classes.sparkSession
     ranges = max(common.partitions(spark), n_classes * TREES // ROWS_PER_RANGE + 1)
     least = (DEPTH - PREFIX) // 2 + 1
@@ -293,11 +297,13 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame,
         wanted = common.stage(alike.select("a").union(alike.select("b")).distinct().toDF("doc_id"), "near-wanted")
         return common.stage(confirmed(alike, common.stage(_sets(docs, wanted, width), "near-sets"), percent), "near-links")
 
-    first = linked(pairs.filter("turn = 0").select("a", "b"))
-    labels = components(first)
-    apart = pairs.filter("turn = 1").join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-    apart = apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-    return rows, classes, first.unionByName(linked(apart))
+    links = linked(pairs.filter("turn = 0").select("a", "b"))
+    for turn in (1, 2):
+        labels = components(links)
+        apart = pairs.filter(F.col("turn") == turn).join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        apart = apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+        links = links.unionByName(linked(apart))
+    return rows, classes, links
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
