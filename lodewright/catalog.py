@@ -40,7 +40,8 @@ def joined(ids: str):
 def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page for each order: its lines as JSON annotations, some of unknown type, some outside the page."""
     li = I.table(spark, sf_dir, "lineitem")
-    box = F.array(F.col("l_quantity") * 10, F.round(F.col("l_discount") * 1000, 2), F.round(F.col("l_extendedprice") / 100, 2), F.round(F.col("l_tax") * 5000, 2))
+    whole = lambda c: F.floor(c + 0.5).cast("double")
+    box = F.array(F.col("l_quantity") * 10, whole(F.col("l_discount") * 1000), whole(F.floor("l_extendedprice") / 128), whole(F.col("l_tax") * 5000))
     one = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.struct(box.alias("bbox"), (F.col("l_linenumber") % 7).alias("category_id")).alias("a"))
     grouped = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("l"))
     payload = F.to_json(F.struct(F.transform("l", lambda x: x["a"]).alias("annotations")))
@@ -48,7 +49,7 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LAYOUT = """WITH a AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS idx, l_linenumber % 7 AS cat,
-  l_quantity * 10 AS x, round(l_discount * 1000, 2) AS y, round(l_extendedprice / 100, 2) AS w, round(l_tax * 5000, 2) AS h FROM lineitem),
+  l_quantity * 10 AS x, floor(l_discount * 1000 + 0.5) AS y, floor(floor(l_extendedprice) / 128 + 0.5) AS w, floor(l_tax * 5000 + 0.5) AS h FROM lineitem),
 c AS (SELECT *, least(greatest(x, 0), 400) AS x0, least(greatest(y, 0), 60) AS y0, least(greatest(x + w, 0), 400) AS x1, least(greatest(y + h, 0), 60) AS y1 FROM a WHERE cat BETWEEN 1 AND 5),
 k AS (SELECT *, greatest(0, x1 - x0) AS cw, greatest(0, y1 - y0) AS ch FROM c)"""
 
