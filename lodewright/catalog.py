@@ -48,7 +48,7 @@ def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.format_string("ORD_%d", "l_orderkey").alias("key"), F.lit(400).alias("width"), F.lit(60).alias("height"), payload.alias("payload"))
 
 
-_LAYOUT = """WITH a AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS idx, l_linenumber % 7 AS cat,
+_LAYOUT = """WITH a AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, floor(l_discount * 1000 + 0.5), floor(floor(l_extendedprice) / 128 + 0.5), floor(l_tax * 5000 + 0.5)) - 1 AS idx, l_linenumber % 7 AS cat,
   l_quantity * 10 AS x, floor(l_discount * 1000 + 0.5) AS y, floor(floor(l_extendedprice) / 128 + 0.5) AS w, floor(l_tax * 5000 + 0.5) AS h FROM lineitem),
 c AS (SELECT *, least(greatest(x, 0), 400) AS x0, least(greatest(y, 0), 60) AS y0, least(greatest(x + w, 0), 400) AS x1, least(greatest(y + h, 0), 60) AS y1 FROM a WHERE cat BETWEEN 1 AND 5),
 k AS (SELECT *, greatest(0, x1 - x0) AS cw, greatest(0, y1 - y0) AS ch FROM c)"""
