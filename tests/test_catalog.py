@@ -21,7 +21,7 @@ def duck():
 
 def plain(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
         return round(float(v), 5) if isinstance(v, float) or hasattr(v, "dtype") else v
 
