@@ -2,7 +2,7 @@
 
 Two deterministic transducers stand for a byte-level BPE tokenizer:
 
-* The cutting pattern becomes one of twelve states over classes of characters; a transition
+* The cutting pattern becomes eleven states over classes of characters; a transition
   emits whether a piece starts at this character or at the one before.  A batch of texts is run
   in fixed chunks side by side.  For each chunk the map from every entry state to its exit
   state is computed (the maps of all chunks advance together and soon agree for all entries);
