@@ -2,15 +2,15 @@
 
 Documents with equal shingle sets form a class first; the rest works on one document of each.
 A tree of the forest is an order: classes sorted by their MinHash slots, in an order of slots
-of the tree's own.  Neighbours in an order share the longest prefixes.  Classes that share
-``PREFIX`` slots form a region; inside it each class is a candidate with the ``NEIGHBOURS``
-before and after it, so the depth that makes a candidate adapts to how crowded the region is.
-In a crowded region the classes that agree most with the region's commonest slots (its hubs)
-are candidates with all of it, so a text with very many near copies still meets each of them.
-Candidates are filtered by their signatures and confirmed on their full shingle sets, in three
-turns: first hubs, then other hubs and the nearest neighbours, then the other neighbours.  A later
-turn leaves out pairs that the links so far have brought into one component, as no link inside a
-component changes it.
+of the tree's own.  Classes that share ``PREFIX`` slots form a region; in a small region all are
+candidates with each other.  In a crowded region a hub meets all others: the class that agrees in
+most of all ``SLOTS`` slots with the commonest slots of those outside the region's main component.
+Hubs are elected anew until the region is one component; when that stops helping, all classes
+outside the main component meet all of the region, block by block, so no pair of a region is left
+out but inside a component, where no link changes it.
+Candidates are filtered by their signatures and confirmed on their full shingle sets: first those
+of crowded regions, then nearest neighbours of small ones, then the others.  A later turn leaves
+out pairs that the links so far have brought into one component.
 
 Components come from label propagation over the confirmed links, with pointer jumping; labels
 and links stay in tables in the shared folder.
@@ -27,7 +27,7 @@ no other id; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +41,14 @@ SLOTS = 128
 TREES = 25
 PREFIX = 5
 DEPTH = 16
-NEIGHBOURS = 8
+#: A region of more classes is crowded.
+SMALL = 9
 NEAREST = 2
-HUBS = 3
+#: Members of a region whose slots elect its hub.
+PROBES = 32
+#: Hubs are elected on as long as a turn leaves at most this share of the members outside the main components.
+FALLING = 0.7
+BLOCK = 512
 ROWS_PER_RANGE = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: A candidate passes its signatures if they agree in this much less than the similarity asked for.
@@ -158,59 +163,158 @@ def trees(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "signature").mapInArrow(run, "tree int, key binary, rep long")
 
 
-def _hub_pairs(keys: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each hub with the whole region, those of the first hub first."""
-    common_slot = np.empty(DEPTH, keys.dtype)
-    for k in range(DEPTH):
-        values, n = np.unique(keys[:, k], return_counts=True)
-        common_slot[k] = values[n.argmax()]
-    agree = (keys == common_slot).sum(1)
-    hubs = np.lexsort((rep, -agree))[:HUBS]
-    a = np.concatenate([np.full(len(rep), rep[h]) for h in hubs])
-    return a, np.tile(rep, len(hubs))
-
-
 def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs and crowded regions of one range of the orders (a range holds few rows by its size)."""
+    """Pairs (a, b, turn) of the small regions of one range of the orders, and the rows (a, region) of crowded ones."""
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
     whole = pa.Table.from_batches(tables)
     tree = whole.column(0).to_numpy()
     rep = whole.column(2).to_numpy()
-    keys = np.frombuffer(b"".join(whole.column(1).to_pylist()), ">u2").reshape(-1, DEPTH).astype(np.uint16)
+    raw = np.frombuffer(b"".join(whole.column(1).to_pylist()), np.uint8).reshape(-1, 2 * DEPTH)
+    keys = raw.view(">u2").astype(np.uint16)
     apart = np.ones(len(rep), bool)
     apart[1:] = (tree[1:] != tree[:-1]) | (keys[1:, :PREFIX] != keys[:-1, :PREFIX]).any(1)
-    region = np.cumsum(apart)
+    region = np.cumsum(apart) - 1
+    crowded = np.bincount(region) > SMALL
+    small = ~crowded[region]
     found = []
-
-    def add(a: np.ndarray, b: np.ndarray, turn: int) -> None:
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), turn)], 1)[a != b])
-
-    for k in range(1, NEIGHBOURS + 1):
-        i = np.flatnonzero(region[k:] == region[:-k])
+    for k in range(1, SMALL):
+        i = np.flatnonzero((region[k:] == region[:-k]) & small[k:])
         i = i[(keys[i, PREFIX:] == keys[i + k, PREFIX:]).sum(1) >= least_agreeing]
-        add(rep[i], rep[i + k], 1 if k <= NEAREST else 2)
-    edges = np.append(np.flatnonzero(apart), len(rep))
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        if hi - lo > NEIGHBOURS + 1:
-            a, b = _hub_pairs(keys[lo:hi], rep[lo:hi])
-            add(a[: hi - lo], b[: hi - lo], 0)
-            add(a[hi - lo :], b[hi - lo :], 1)
+        a, b = rep[i], rep[i + k]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), 1 if k <= NEAREST else 2)], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
     for i in range(0, len(pairs), 10_000):
         columns = [pa.array(c.copy()) for c in pairs[i : i + 10_000].T]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "turn"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names=["a", "b", "turn", "region"])
+    rows = np.flatnonzero(~small)
+    for i in range(0, len(rows), 10_000):
+        at = rows[i : i + 10_000]
+        names = np.concatenate([tree[at, None].astype(np.uint8), raw[at, : 2 * PREFIX]], 1)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(rep[at]), none, none, pa.array([x.tobytes() for x in names], pa.binary())], names=["a", "b", "turn", "region"])
 
 
-def candidates(classes: DataFrame, n_classes: int) -> DataFrame:
-    """Distinct candidate pairs (a < b) of class representatives; ``turn``: 0 for first hubs, 1 for other hubs and nearest neighbours, 2 for the rest."""
+def candidates(classes: DataFrame, n_classes: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of class representatives in small regions, with ``turn`` (1 for nearest neighbours, 2 for the rest); (region, rep) of crowded ones."""
     spark = classes.sparkSession
     ranges = max(common.partitions(spark), n_classes * TREES // ROWS_PER_RANGE + 1)
     least = (DEPTH - PREFIX) // 2 + 1
     orders = trees(classes).repartitionByRange(ranges, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = orders.mapInArrow(lambda batches: _pairs(batches, least), "a long, b long, turn long")
-    return found.groupBy("a", "b").agg(F.min("turn").alias("turn"))
+    found = common.stage(orders.mapInArrow(lambda batches: _pairs(batches, least), "a long, b long, turn long, region binary"), "near-found")
+    pairs = found.filter("region is null").groupBy("a", "b").agg(F.min("turn").alias("turn"))
+    return pairs, found.filter("region is not null").select("region", F.col("a").alias("rep"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of the regions that hold several components: region, rep, component, main (the region's commonest component), n (its members)."""
+    if labels is None:
+        named = members.select("region", "rep", F.col("rep").alias("component"))
+    else:
+        named = members.join(labels, members["rep"] == labels["node"], "left").select("region", "rep", F.coalesce("component", "rep").alias("component"))
+        named = common.stage(named, "near-members")
+    parts = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main")
+    several = parts.groupBy("region").agg(main, F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    several = common.stage(several.select("region", "main", "n"), "near-regions")
+    return common.stage(named.join(_few(several), "region"), "near-open")
+
+
+def _matrix(signatures: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, SLOTS)
+
+
+def _hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """(region, hub, its component): the member that agrees most with the commonest slots of the region's members outside its main component.
+
+    The commonest slots are those of ``PROBES`` members, by hash.
+    """
+
+    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slots = []
+            for some in batch.column(1).to_pylist():
+                m = _matrix(some)
+                best = (m[:, None] == m[None]).sum(0).argmax(0)
+                slots.append(m[best, np.arange(SLOTS)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary())], names=["region", "slots"])
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                agree = (_matrix(batch.column(3).to_pylist()) == _matrix(batch.column(4).to_pylist())).sum(1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(agree.astype(np.int64))], names=["region", "rep", "component", "agree"])
+
+    signed = members.join(classes.select("rep", "signature"), "rep")
+    by_hash = Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep")
+    probes = members.filter("component != main").withColumn("__n", F.row_number().over(by_hash)).filter(F.col("__n") <= PROBES)
+    probes = probes.select("region", "rep").join(classes.select("rep", "signature"), "rep").groupBy("region").agg(F.collect_list("signature").alias("some"))
+    slots = common.stage(probes.mapInArrow(commonest, "region binary, slots binary"), "near-slots")
+    signed = signed.join(_few(slots), "region").select("region", "rep", "component", "signature", "slots")
+    signed = signed.mapInArrow(agreeing, "region binary, rep long, component long, agree long")
+    best = F.max_by(F.struct("rep", "component"), F.struct(F.col("agree"), -F.col("rep"))).alias("best")
+    return signed.groupBy("region").agg(best).select("region", F.col("best.rep").alias("hub"), F.col("best.component").alias("of"))
+
+
+def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components in each region whose sizes and signatures allow a link; blocks meet blocks, so no region is one task's."""
+    least = int((percent / 100 - SLACK) * SLOTS)
+    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).alias("salt")
+    signed = members.join(classes.select("rep", "n_shingles", "signature"), "rep")
+    fields = F.struct("rep", "component", "n_shingles", "signature")
+
+    def blocks(some: DataFrame, name: str) -> DataFrame:
+        return common.stage(some.groupBy("region", salt).agg(F.collect_list(fields).alias(name)).select("region", name), "near-blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ra, ca, na, sa), (rb, cb, nb, sb) = (_block(batch.column(c)[i].values) for c in (0, 1))
+                good = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+                x, y = np.nonzero(good)
+                for k in range(0, len(x), 1 << 16):
+                    p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+                    ok = (sa[p] == sb[q]).sum(1) >= least
+                    a, b = ra[p[ok]], rb[q[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    rest = blocks(signed.filter("component != main"), "some")
+    met = rest.join(blocks(signed, "every"), "region").select("some", "every").mapInArrow(run, "a long, b long")
+    return met.distinct()
+
+
+def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rep, component, n, signature = rows.flatten()
+    return *(c.to_numpy(zero_copy_only=False) for c in (rep, component, n)), _matrix(signature.to_pylist())
+
+
+def closed(members: DataFrame, classes: DataFrame, percent: int, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links after which no two members of a crowded region are both unmet and in different components.
+
+    Each turn elects a hub in every region that holds several components, and the hub meets all of its
+    region.  When a turn no longer brings much together, all members outside the main component meet all others.
+    """
+    links, labels, before = None, None, None
+    while True:
+        members = _opened(members, labels)
+        rest = members.filter("component != main").count()
+        if not rest:
+            return links if links is not None else linked(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        if before is not None and rest > FALLING * before:
+            return links.unionByName(linked(_all_pairs(members, classes, percent)))
+        before = rest
+        hubs = common.stage(_hubs(members, classes), "near-hubs")
+        met = members.join(_few(hubs), "region")
+        pairs = met.filter("component != of").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        found = linked(pairs)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        members = met.filter("rep != hub").select("region", "rep")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -290,14 +394,15 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame,
         .filter("rep is not null")
     )
     classes = common.stage(classes, "near-classes")
-    pairs = common.stage(candidates(classes, classes.count()), "near-pairs")
+    pairs, members = candidates(classes, classes.count())
+    pairs = common.stage(pairs, "near-pairs")
 
     def linked(some: DataFrame) -> DataFrame:
         alike = common.stage(_alike(some, classes, percent / 100), "near-alike")
         wanted = common.stage(alike.select("a").union(alike.select("b")).distinct().toDF("doc_id"), "near-wanted")
         return common.stage(confirmed(alike, common.stage(_sets(docs, wanted, width), "near-sets"), percent), "near-links")
 
-    links = linked(pairs.filter("turn = 0").select("a", "b"))
+    links = closed(members, classes, percent, linked)
     for turn in (1, 2):
         labels = components(links)
         apart = pairs.filter(F.col("turn") == turn).join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")

@@ -66,6 +66,39 @@ def test_one_of_each_group_and_odd_rows(spark):
     assert forest.groups(df.limit(0)).count() == 0 and forest.one_of_each_group(df.limit(0)).count() == 0
 
 
+def star(r, n, size=1000, edits=20):
+    """(doc_id, text) of a text and n copies of it, each linked to it and mostly not to another; the text has the largest id."""
+    base = [f"w{k}" for k in range(size)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for k in r.sample(range(size), edits):
+            words[k] = f"x{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    return [*rows, (n, " ".join(base))]
+
+
+def test_a_text_meets_each_of_its_many_copies(spark):
+    rows = star(random.Random(4), 1200)
+    got = forest.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("component_id").distinct().collect()
+    assert [x["component_id"] for x in got] == [0]
+
+
+def test_members_that_no_hub_links_all_meet(spark):
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(1000)]
+    rows = []
+    for pair in range(60):  # two near copies each of a text that is not there, 80 words from the other pairs' texts
+        words = list(base)
+        for k in r.sample(range(1000), 80):
+            words[k] = f"x{r.randint(0, 10**9)}"
+        for i in range(2):
+            words[r.randrange(1000)] = f"y{r.randint(0, 10**9)}"
+            rows.append((2 * pair + i, " ".join(words)))
+    got = {x["doc_id"]: x["component_id"] for x in forest.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(1, 2)]
     got = {r["node"]: r["component"] for r in forest.components(spark.createDataFrame(chain, "a long, b long")).collect()}
