@@ -16,7 +16,7 @@ Components come from label propagation over the confirmed links, with pointer ju
 and links stay in tables in the shared folder.
 
 Scale: the orders are range-partitioned by their full keys, so a region with a third of all
-rows spreads over many tasks.  Copies of one text are one class after a partial aggregation.
+rows spreads over many tasks; hubs are a region's, over all its ranges.  Copies of one text are one class after a partial aggregation.
 Joins on a hub's id are skewed equi-joins, which adaptive execution splits.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles, are linked
@@ -164,7 +164,10 @@ def trees(classes: DataFrame) -> DataFrame:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, turn) of the small regions of one range of the orders, and the rows (a, region) of crowded ones."""
+    """Pairs (a, b, turn) of the small regions of one range of the orders, and the rows (a, region) of the others.
+
+    The first and the last region of a range may go on in the next range, so they count as crowded.
+    """
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
@@ -177,6 +180,7 @@ def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[p
     apart[1:] = (tree[1:] != tree[:-1]) | (keys[1:, :PREFIX] != keys[:-1, :PREFIX]).any(1)
     region = np.cumsum(apart) - 1
     crowded = np.bincount(region) > SMALL
+    crowded[[0, -1]] = True
     small = ~crowded[region]
     found = []
     for k in range(1, SMALL):

@@ -84,6 +84,13 @@ def test_a_text_meets_each_of_its_many_copies(spark):
     assert [x["component_id"] for x in got] == [0]
 
 
+def test_regions_go_on_over_the_borders_of_ranges(spark, monkeypatch):
+    monkeypatch.setattr(forest, "ROWS_PER_RANGE", 2)
+    rows = star(random.Random(8), 14)
+    got = forest.groups(spark.createDataFrame(rows, "doc_id long, text string")).select("component_id").distinct().collect()
+    assert [x["component_id"] for x in got] == [0]
+
+
 def test_members_that_no_hub_links_all_meet(spark):
     r = random.Random(6)
     base = [f"w{k}" for k in range(1000)]
