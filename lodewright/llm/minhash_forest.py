@@ -431,10 +431,14 @@ def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, in the columns of ``docs``: the one of the smallest id of each group, and one row of each doc_id."""
-    kept = groups(docs, width, percent).filter("kept").select(F.col("doc_id").alias("__d")).distinct()
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__id"))
-    some = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    stay = whole.join(some, F.col("__id").eqNullSafe(F.col("__d")), "left_semi")
-    again = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("__row")))
-    return stay.withColumn("__n", again).filter("__n = 1").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])
+    """The rows that stay, in the columns of ``docs``: of each group the row of the smallest id, a null id last.
+
+    Rows are compared by their texts under a staged row number, so null and repeated ids are rows like others.
+    """
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.monotonically_increasing_id().alias("__key"))
+    whole = common.stage(whole, "near-documents")
+    parts = groups(whole.select(F.col("__key").alias("doc_id"), F.col("__row.text").alias("text")), width, percent)
+    named = whole.select("__key", F.col("__row.doc_id").alias("__id")).join(parts.select(F.col("doc_id").alias("__key"), "component_id"), "__key")
+    first = F.min_by("__key", F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__key")))
+    kept = common.stage(named.groupBy("component_id").agg(first.alias("__key")).select("__key"), "near-kept")
+    return whole.join(_few(kept), "__key", "left_semi").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

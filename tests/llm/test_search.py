@@ -66,6 +66,12 @@ def test_one_of_each_group_and_odd_rows(spark):
     assert forest.groups(df.limit(0)).count() == 0 and forest.one_of_each_group(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_kept_by_their_texts(spark):
+    rows = [(None, "one text of its own"), (None, "another text with other words"), (5, "first text under five"), (5, "second and different under five"), (None, "first text under FIVE")]
+    out = forest.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in out) == sorted((i or 0, t) for i, t in rows[:4])
+
+
 def star(r, n, size=1000, edits=20):
     """(doc_id, text) of a text and n copies of it, each linked to it and mostly not to another; the text has the largest id."""
     base = [f"w{k}" for k in range(size)]
