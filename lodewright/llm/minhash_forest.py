@@ -2,32 +2,36 @@
 
 Documents with equal shingle sets form a class first; the rest works on one document of each.
 A tree of the forest is an order: classes sorted by their MinHash slots, in an order of slots
-of the tree's own.  Classes that share ``PREFIX`` slots form a region; in a small region all are
-candidates with each other.  In a crowded region a hub meets all others: the class that agrees in
-most of all ``SLOTS`` slots with the commonest slots of those outside the region's main component.
-Hubs are elected anew until the region is one component; when that stops helping, all classes
-outside the main component meet all of the region, block by block, so no pair of a region is left
-out but inside a component, where no link changes it.
-Candidates are filtered by their signatures and confirmed on their full shingle sets: first those
-of crowded regions, then nearest neighbours of small ones, then the others.  A later turn leaves
-out pairs that the links so far have brought into one component.
+of the tree's own.  Classes that share ``PREFIX`` slots form a region.  In a small region all
+are candidates of each other, filtered by deeper slots, then by their signatures, and confirmed
+on their full shingle sets.  A crowded region, and one on the border of a range, goes on with
+full sets at once: it is dealt into blocks, and a task counts the shared shingles of all pairs
+of a block and gives out a spanning forest of the links that it finds, not the pairs.
+
+Crowded regions are closed in turns of some trees.  A turn leaves out the regions whose members
+the links so far have brought into one component.  A region of several blocks then meets its
+hubs (in each block the member with most links, the best of them for the region); what stays
+outside its largest component meets all of the region, block by block.  So no pair of a region
+is left out but inside a component, where no link changes it.
 
 Components come from label propagation over the confirmed links, with pointer jumping; labels
 and links stay in tables in the shared folder.
 
-Scale: the orders are range-partitioned by their full keys, so a region with a third of all
-rows spreads over many tasks; hubs are a region's, over all its ranges.  Copies of one text are one class after a partial aggregation.
-Joins on a hub's id are skewed equi-joins, which adaptive execution splits.
+Scale: the orders are range-partitioned by their full keys, and the blocks of a region spread
+over many tasks, so a group with a third of all rows has no task of its own.  Copies of one text are
+one class after a partial aggregation.  Pairs inside a component are never rows.  The only work
+that grows with the square of a region is that of the members outside its largest component.
 
 Defined results: null and empty texts, and texts without words, have 0 shingles, are linked
-with nothing and are their own component; rows that share a doc_id are one document with the shingles of any of them;
-a null doc_id takes the class's smallest id as its component and is kept only if the class has
-no other id; an empty table gives no rows; other columns are ignored.
+with nothing and are their own component; very long texts are taken whole, one of more shingles than a block holds
+makes up a block; rows are compared by their texts, also those that share a doc_id or have none; ties between ids cannot arise,
+equal ids are one name; a null doc_id takes the smallest id of its component (null if all are null) and is kept only then; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +47,12 @@ PREFIX = 5
 DEPTH = 16
 #: A region of more classes is crowded.
 SMALL = 9
-NEAREST = 2
-#: Members of a region whose slots elect its hub.
-PROBES = 32
-#: Hubs are elected on as long as a turn leaves at most this share of the members outside the main components.
-FALLING = 0.7
+#: Crowded regions of trees before each of these are closed together.
+TURNS = (2, TREES)
+#: Members of a block, and bytes of their sets, on average.
 BLOCK = 512
+BLOCK_BYTES = 2 << 20
+HUBS = 4
 ROWS_PER_RANGE = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: A candidate passes its signatures if they agree in this much less than the similarity asked for.
@@ -92,6 +96,15 @@ class Shingles:
         self.sizes = np.bincount(owner[new], minlength=len(texts)).astype(np.int64)
 
 
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each set, the same for equal sets."""
+        stops, out = np.cumsum(self.sizes), []
+        for values in (self.hash, self.check):
+            total = np.append(np.uint64(0), np.cumsum(mix(values), dtype=np.uint64))
+            out.append((total[stops] - total[stops - self.sizes]).view(np.int64))
+        return out[0], out[1]
+
+
 def signatures(s: Shingles) -> np.ndarray:
     """A row of ``SLOTS`` 16-bit MinHash slots for each text with shingles (others: zeros)."""
     out = np.zeros((len(s.sizes), SLOTS), np.uint16)
@@ -114,26 +127,10 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for batch in batches:
-            ids = batch.column(0)
-            for first, texts in pretokens.sliced(batch.column(1).to_pylist()):
-                s = Shingles(texts, width, hasher)
-                sums = []
-                for values in (s.hash, s.check):
-                    total = np.append(np.uint64(0), np.cumsum(mix(values), dtype=np.uint64))
-                    stops = np.cumsum(s.sizes)
-                    sums.append((total[stops] - total[stops - s.sizes]).view(np.int64))
-                rows = signatures(s)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(first, len(texts)),
-                        pa.array(s.sizes),
-                        pa.array(sums[0]),
-                        pa.array(sums[1]),
-                        pa.array([r.tobytes() for r in rows], pa.binary()),
-                    ],
-                    names=["doc_id", "n_shingles", "class_a", "class_b", "signature"],
-                )
+        for ids, texts in pretokens.slices(batches):
+            s = Shingles(texts, width, hasher)
+            columns = [ids, pa.array(s.sizes), *map(pa.array, s.digests()), pa.array([r.tobytes() for r in signatures(s)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class_a", "class_b", "signature"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class_a long, class_b long, signature binary")
 
@@ -143,28 +140,25 @@ def _slots_of(tree: int) -> np.ndarray:
 
 
 def trees(classes: DataFrame) -> DataFrame:
-    """The rows of all orders: tree, key (``DEPTH`` slots, highest byte first), rep."""
+    """The rows of all orders: tree, key (``DEPTH`` slots, highest byte first), node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in range(0, len(rep), 4096):
+            node = batch.column(0).to_numpy(zero_copy_only=False)
+            for i in range(0, len(node), 4096):
                 raw = b"".join(x.as_py() for x in batch.column(1)[i : i + 4096])
                 rows = np.frombuffer(raw, np.uint16).reshape(-1, SLOTS).astype(">u2")
                 for t in range(TREES):
                     keys = np.ascontiguousarray(rows[:, _slots_of(t)])
-                    packed = pa.Array.from_buffers(
-                        pa.binary(2 * DEPTH), len(keys), [None, pa.py_buffer(keys.tobytes())]
-                    ).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(keys), t, np.int32)), packed, pa.array(rep[i : i + 4096])], names=["tree", "key", "rep"]
-                    )
+                    packed = pa.Array.from_buffers(pa.binary(2 * DEPTH), len(keys), [None, pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+                    columns = [pa.array(np.full(len(keys), t, np.int32)), packed, pa.array(node[i : i + 4096])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["tree", "key", "node"])
 
-    return classes.select("rep", "signature").mapInArrow(run, "tree int, key binary, rep long")
+    return classes.select("node", "signature").mapInArrow(run, "tree int, key binary, node long")
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b, turn) of the small regions of one range of the orders, and the rows (a, region) of the others.
+def _regions(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the small regions of one range of the orders, and the rows (a, tree, region) of the others.
 
     The first and the last region of a range may go on in the next range, so they count as crowded.
     """
@@ -173,10 +167,10 @@ def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[p
         return
     whole = pa.Table.from_batches(tables)
     tree = whole.column(0).to_numpy()
-    rep = whole.column(2).to_numpy()
+    node = whole.column(2).to_numpy()
     raw = np.frombuffer(b"".join(whole.column(1).to_pylist()), np.uint8).reshape(-1, 2 * DEPTH)
     keys = raw.view(">u2").astype(np.uint16)
-    apart = np.ones(len(rep), bool)
+    apart = np.ones(len(node), bool)
     apart[1:] = (tree[1:] != tree[:-1]) | (keys[1:, :PREFIX] != keys[:-1, :PREFIX]).any(1)
     region = np.cumsum(apart) - 1
     crowded = np.bincount(region) > SMALL
@@ -186,146 +180,39 @@ def _pairs(batches: Iterator[pa.RecordBatch], least_agreeing: int) -> Iterator[p
     for k in range(1, SMALL):
         i = np.flatnonzero((region[k:] == region[:-k]) & small[k:])
         i = i[(keys[i, PREFIX:] == keys[i + k, PREFIX:]).sum(1) >= least_agreeing]
-        a, b = rep[i], rep[i + k]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), 1 if k <= NEAREST else 2)], 1))
+        found.append(np.stack([np.minimum(node[i], node[i + k]), np.maximum(node[i], node[i + k])], 1))
     pairs = np.unique(np.concatenate(found), axis=0)
+    names = ["a", "b", "tree", "region"]
     for i in range(0, len(pairs), 10_000):
-        columns = [pa.array(c.copy()) for c in pairs[i : i + 10_000].T]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names=["a", "b", "turn", "region"])
+        a, b = (pa.array(c.copy()) for c in pairs[i : i + 10_000].T)
+        yield pa.RecordBatch.from_arrays([a, b, pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
     rows = np.flatnonzero(~small)
     for i in range(0, len(rows), 10_000):
         at = rows[i : i + 10_000]
-        names = np.concatenate([tree[at, None].astype(np.uint8), raw[at, : 2 * PREFIX]], 1)
-        none = pa.nulls(len(at), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rep[at]), none, none, pa.array([x.tobytes() for x in names], pa.binary())], names=["a", "b", "turn", "region"])
+        prefix = np.concatenate([tree[at, None].astype(np.uint8), raw[at, : 2 * PREFIX]], 1)
+        columns = [pa.array(node[at]), pa.nulls(len(at), pa.int64()), pa.array(tree[at]), pa.array([x.tobytes() for x in prefix], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def candidates(classes: DataFrame, n_classes: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of class representatives in small regions, with ``turn`` (1 for nearest neighbours, 2 for the rest); (region, rep) of crowded ones."""
-    spark = classes.sparkSession
-    ranges = max(common.partitions(spark), n_classes * TREES // ROWS_PER_RANGE + 1)
+def candidates(classes: DataFrame, n_classes: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of classes in small regions; (tree, region, node) of crowded ones."""
+    ranges = max(common.partitions(classes.sparkSession), n_classes * TREES // ROWS_PER_RANGE + 1)
     least = (DEPTH - PREFIX) // 2 + 1
-    orders = trees(classes).repartitionByRange(ranges, "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
-    found = common.stage(orders.mapInArrow(lambda batches: _pairs(batches, least), "a long, b long, turn long, region binary"), "near-found")
-    pairs = found.filter("region is null").groupBy("a", "b").agg(F.min("turn").alias("turn"))
-    return pairs, found.filter("region is not null").select("region", F.col("a").alias("rep"))
+    orders = trees(classes).repartitionByRange(ranges, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    found = scratch.stage(orders.mapInArrow(lambda batches: _regions(batches, least), "a long, b long, tree int, region binary"), "near-found")
+    pairs = found.filter("region is null").select("a", "b").distinct()
+    return pairs, found.filter("region is not null").select("tree", "region", F.col("a").alias("node"))
 
 
 def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _opened(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of the regions that hold several components: region, rep, component, main (the region's commonest component), n (its members)."""
-    if labels is None:
-        named = members.select("region", "rep", F.col("rep").alias("component"))
-    else:
-        named = members.join(labels, members["rep"] == labels["node"], "left").select("region", "rep", F.coalesce("component", "rep").alias("component"))
-        named = common.stage(named, "near-members")
-    parts = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"))
-    main = F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main")
-    several = parts.groupBy("region").agg(main, F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    several = common.stage(several.select("region", "main", "n"), "near-regions")
-    return common.stage(named.join(_few(several), "region"), "near-open")
-
-
-def _matrix(signatures: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(signatures), np.uint16).reshape(-1, SLOTS)
-
-
-def _hubs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(region, hub, its component): the member that agrees most with the commonest slots of the region's members outside its main component.
-
-    The commonest slots are those of ``PROBES`` members, by hash.
-    """
-
-    def commonest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slots = []
-            for some in batch.column(1).to_pylist():
-                m = _matrix(some)
-                best = (m[:, None] == m[None]).sum(0).argmax(0)
-                slots.append(m[best, np.arange(SLOTS)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary())], names=["region", "slots"])
-
-    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                agree = (_matrix(batch.column(3).to_pylist()) == _matrix(batch.column(4).to_pylist())).sum(1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(agree.astype(np.int64))], names=["region", "rep", "component", "agree"])
-
-    signed = members.join(classes.select("rep", "signature"), "rep")
-    by_hash = Window.partitionBy("region").orderBy(F.xxhash64("rep"), "rep")
-    probes = members.filter("component != main").withColumn("__n", F.row_number().over(by_hash)).filter(F.col("__n") <= PROBES)
-    probes = probes.select("region", "rep").join(classes.select("rep", "signature"), "rep").groupBy("region").agg(F.collect_list("signature").alias("some"))
-    slots = common.stage(probes.mapInArrow(commonest, "region binary, slots binary"), "near-slots")
-    signed = signed.join(_few(slots), "region").select("region", "rep", "component", "signature", "slots")
-    signed = signed.mapInArrow(agreeing, "region binary, rep long, component long, agree long")
-    best = F.max_by(F.struct("rep", "component"), F.struct(F.col("agree"), -F.col("rep"))).alias("best")
-    return signed.groupBy("region").agg(best).select("region", F.col("best.rep").alias("hub"), F.col("best.component").alias("of"))
-
-
-def _all_pairs(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of different components in each region whose sizes and signatures allow a link; blocks meet blocks, so no region is one task's."""
-    least = int((percent / 100 - SLACK) * SLOTS)
-    salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).alias("salt")
-    signed = members.join(classes.select("rep", "n_shingles", "signature"), "rep")
-    fields = F.struct("rep", "component", "n_shingles", "signature")
-
-    def blocks(some: DataFrame, name: str) -> DataFrame:
-        return common.stage(some.groupBy("region", salt).agg(F.collect_list(fields).alias(name)).select("region", name), "near-blocks")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (ra, ca, na, sa), (rb, cb, nb, sb) = (_block(batch.column(c)[i].values) for c in (0, 1))
-                good = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
-                x, y = np.nonzero(good)
-                for k in range(0, len(x), 1 << 16):
-                    p, q = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
-                    ok = (sa[p] == sb[q]).sum(1) >= least
-                    a, b = ra[p[ok]], rb[q[ok]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    rest = blocks(signed.filter("component != main"), "some")
-    met = rest.join(blocks(signed, "every"), "region").select("some", "every").mapInArrow(run, "a long, b long")
-    return met.distinct()
-
-
-def _block(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    rep, component, n, signature = rows.flatten()
-    return *(c.to_numpy(zero_copy_only=False) for c in (rep, component, n)), _matrix(signature.to_pylist())
-
-
-def closed(members: DataFrame, classes: DataFrame, percent: int, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links after which no two members of a crowded region are both unmet and in different components.
-
-    Each turn elects a hub in every region that holds several components, and the hub meets all of its
-    region.  When a turn no longer brings much together, all members outside the main component meet all others.
-    """
-    links, labels, before = None, None, None
-    while True:
-        members = _opened(members, labels)
-        rest = members.filter("component != main").count()
-        if not rest:
-            return links if links is not None else linked(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        if before is not None and rest > FALLING * before:
-            return links.unionByName(linked(_all_pairs(members, classes, percent)))
-        before = rest
-        hubs = common.stage(_hubs(members, classes), "near-hubs")
-        met = members.join(_few(hubs), "region")
-        pairs = met.filter("component != of").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        found = linked(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        members = met.filter("rep != hub").select("region", "rep")
-
-
-def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose signatures agree nearly as much as asked for."""
-    left = classes.select(F.col("rep").alias("a"), F.col("signature").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("signature").alias("sb"))
-    least = int((similarity - SLACK) * SLOTS)
+    left = classes.select(F.col("node").alias("a"), F.col("signature").alias("sa"))
+    right = classes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
+    least = int((percent / 100 - SLACK) * SLOTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,19 +226,22 @@ def _alike(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The shingle sets (sorted 64-bit hashes) of the documents whose ids are wanted."""
+    """(node, set): the shingle set (sorted 64-bit hashes) of each wanted class (node, rep, class_a, class_b), once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = SpanHasher()
-        for batch in batches:
-            for first, texts in pretokens.sliced(batch.column(1).to_pylist()):
-                s = Shingles(texts, width, hasher)
-                stops = np.cumsum(s.sizes)
-                sets = [s.hash[a:b].tobytes() for a, b in zip((stops - s.sizes).tolist(), stops.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sets, pa.binary())], names=["doc_id", "set"])
+        hasher, seen = SpanHasher(), set()
+        for _, texts in pretokens.slices(batches):
+            s = Shingles(texts, width, hasher)
+            a, b = s.digests()
+            stops = np.cumsum(s.sizes)
+            new = [i for i, d in enumerate(zip(a.tolist(), b.tolist(), strict=True)) if s.sizes[i] and not (d in seen or seen.add(d))]
+            sets = [s.hash[stops[i] - s.sizes[i] : stops[i]].tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(sets, pa.binary())], names=["class_a", "class_b", "set"])
 
-    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return docs.select("doc_id", "text").join(some, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+    ids = wanted.select(F.col("rep").alias("doc_id")).distinct()
+    named = docs.select("doc_id", "text").join(_few(ids), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    made = named.mapInArrow(run, "class_a long, class_b long, set binary")
+    return made.join(wanted.drop("rep"), ["class_a", "class_b"]).groupBy("node").agg(F.first("set").alias("set"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -373,60 +263,256 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+class Block:
+    """Some members of a region: ``node``, their ``component`` so far, and their sets one after the other, ``sizes`` long."""
+
+    def __init__(self, node: np.ndarray, component: np.ndarray, sizes: np.ndarray, values: np.ndarray):
+        self.node, self.component, self.sizes, self.values = node, component, sizes, values
+
+    @classmethod
+    def of(cls, rows: list[tuple[int, int, bytes]]) -> Block:
+        sets = [r[2] for r in rows]
+        sizes = np.array([len(x) // 8 for x in sets], np.int64)
+        return cls(*(np.array([r[k] for r in rows], np.int64) for k in (0, 1)), sizes, np.frombuffer(b"".join(sets), np.uint64))
+
+    def packed(self) -> list[bytes]:
+        return [x.tobytes() for x in (self.node, self.component, self.sizes, self.values)]
+
+    @classmethod
+    def unpacked(cls, parts: list[bytes]) -> Block:
+        return cls(*(np.frombuffer(p, kind) for p, kind in zip(parts, (np.int64, np.int64, np.int64, np.uint64), strict=True)))
+
+    def set_of(self, i: int) -> bytes:
+        stop = int(self.sizes[: i + 1].sum())
+        return self.values[stop - int(self.sizes[i]) : stop].tobytes()
+
+
+def shared(x: Block, y: Block) -> np.ndarray:
+    """How many shingles each member of ``x`` shares with each of ``y``: by matrix products for frequent ones, pair by pair for rare ones."""
+    nx, ny = len(x.node), len(y.node)
+    ox, oy = (np.repeat(np.arange(len(b.node)), b.sizes) for b in (x, y))
+    _, at = np.unique(np.concatenate([x.values, y.values]), return_inverse=True)
+    ix, iy = at[: len(x.values)], at[len(x.values) :]
+    n = int(at.max()) + 1 if len(at) else 0
+    fx, fy = np.bincount(ix, minlength=n), np.bincount(iy, minlength=n)
+    frequent = fx * fy > 256
+    out = np.zeros((nx, ny))
+    column = np.cumsum(frequent) - 1
+    for first in range(0, int(frequent.sum()), 2048):
+        sides = []
+        for i, o, m in ((ix, ox, nx), (iy, oy, ny)):
+            here = frequent[i] & (column[i] >= first) & (column[i] < first + 2048)
+            side = np.zeros((m, 2048), np.float32)
+            side[o[here], column[i[here]] - first] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    here = np.flatnonzero(~frequent[ix] & (fy[ix] > 0))
+    times = fy[ix[here]]
+    begin = (np.cumsum(fy) - fy)[ix[here]]
+    place = np.repeat(begin - np.cumsum(times) + times, times) + np.arange(int(times.sum()))
+    other = oy[np.argsort(iy, kind="stable")][place]
+    return (out + np.bincount(np.repeat(ox[here], times) * ny + other, minlength=nx * ny).reshape(nx, ny)).astype(np.int64)
+
+
+def linked(x: Block, y: Block, percent: int) -> np.ndarray:
+    """Which members of ``x`` are similar enough to which of ``y``."""
+    both = shared(x, y)
+    return 100 * both >= percent * (x.sizes[:, None] + y.sizes - both)
+
+
+def spanning(links: np.ndarray, x: Block, y: Block) -> pa.RecordBatch:
+    """Links (a, b) that connect all that ``links`` connects, without those inside a component."""
+    rows, columns, found = np.ones(len(x.node), bool), np.ones(len(y.node), bool), []
+    for seed in range(len(rows)):
+        if not rows[seed]:
+            continue
+        rows[seed], todo = False, [seed]
+        while todo:
+            i = todo.pop()
+            js = np.flatnonzero(links[i] & columns)
+            columns[js] = False
+            found += [(i, j) for j in js.tolist()]
+            for j in js.tolist():
+                more = np.flatnonzero(links[:, j] & rows)
+                rows[more] = False
+                found += [(k, j) for k in more.tolist()]
+                todo += more.tolist()
+    i, j = np.array(found, np.int64).reshape(-1, 2).T
+    new = x.component[i] != y.component[j]
+    a, b = x.node[i[new]], y.node[j[new]]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+_PARTS = ["nodes", "components", "sizes", "sets"]
+_BLOCK_SCHEMA = "a long, b long, region binary, block long, nodes binary, components binary, sizes binary, sets binary, hub long, hub_set binary, degree long"
+
+
+def _blocks(members: DataFrame, sets: DataFrame, percent: int | None) -> DataFrame:
+    """Blocks of the members (region, block, blocks, node, component), a row each; with ``percent`` links too.
+
+    With ``percent`` a block's own links come as rows (a, b), a block that is the only one of its region is
+    not given out, and the others name their hub.  Without it, all blocks are given out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(w.split()[0], pa.binary() if w.endswith("binary") else pa.int64()) for w in _BLOCK_SCHEMA.split(", ")])
+        key, rows = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            whole = Block.of(rows)
+            said = dict.fromkeys(schema.names)
+            if percent is not None:
+                links = linked(whole, whole, percent)
+                tied = spanning(links, whole, whole)
+                yield pa.RecordBatch.from_arrays([*tied.columns, *(pa.nulls(len(tied), f.type) for f in list(schema)[2:])], schema=schema)
+                degree = links.sum(1)
+                hub = int(degree.argmax())
+                said |= {"hub": int(whole.node[hub]), "hub_set": whole.set_of(hub), "degree": int(degree[hub])}
+            if percent is None or key[2] > 1:
+                said |= {"region": key[0], "block": key[1]} | dict(zip(_PARTS, whole.packed(), strict=True))
+                yield pa.RecordBatch.from_pylist([said], schema=schema)
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                region, block, blocks, node, component, values = (c[row].as_py() for c in batch.columns)
+                if key is not None and key[:2] != (region, block):
+                    yield from done()
+                    rows = []
+                key = (region, block, blocks)
+                rows.append((node, component, values))
+        if rows:
+            yield from done()
+
+    dealt = members.join(sets, "node").select("region", "block", "blocks", "node", "component", "set")
+    dealt = dealt.repartition(common.partitions(members.sparkSession), "region", "block").sortWithinPartitions("region", "block")
+    return dealt.mapInArrow(run, _BLOCK_SCHEMA)
+
+
+def _opened(members: DataFrame, labels: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Members of the regions that hold several components, with ``component``, ``main`` (the region's largest), ``blocks`` and ``block``."""
+    named = members.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")
+    named = scratch.stage(named.select("region", "node", "n_shingles", F.coalesce("component", "node").alias("component")), "near-members")
+    parts = named.groupBy("region", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    main = F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main")
+    several = parts.groupBy("region").agg(main, F.sum("n").alias("n"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") * 8 / BLOCK_BYTES)).alias("blocks")
+    several = scratch.stage(several.select("region", "main", blocks), "near-regions")
+    return named.join(_few(several), "region").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+
+
+def _met(pairs: DataFrame, left: list[str], right: list[str], percent: int) -> DataFrame:
+    """Links between the two blocks of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = (Block.unpacked([batch.column(k + i)[row].as_py() for i in range(4)]) for k in (0, 4))
+                yield spanning(linked(x, y, percent), x, y)
+
+    return pairs.select(*left, *right).mapInArrow(run, "a long, b long")
+
+
+def closed(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, scratch: common.Scratch) -> list[DataFrame]:
+    """Links after which no two members of a crowded region (tree, region, node, n_shingles) are both unmet and in different components."""
+    opened = scratch.stage(_opened(members, labels, scratch), "near-open")
+    if not opened.head(1):
+        return []
+    found = scratch.stage(_blocks(opened, sets, percent), "near-blocks")
+    links = [found.filter("a is not null").select("a", "b")]
+    blocks = found.filter("region is not null")
+    several = opened.filter("blocks > 1")
+    if not blocks.head(1):
+        return links
+    best = Window.partitionBy("region").orderBy(F.desc("degree"), "hub")
+    hubs = blocks.select("region", "hub", "hub_set", "degree").withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= HUBS)
+    # The hubs go to every block of their region, one hub a row: a region's rows are its blocks times HUBS at most.
+    joined = several.select("region", "block").distinct().join(hubs.select("region", "hub", "hub_set"), "region")
+    joined = joined.join(blocks.select("region", "block", *_PARTS), ["region", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x = Block.of([(batch.column(0)[row].as_py(), -1, batch.column(1)[row].as_py())])
+                y = Block.unpacked([batch.column(2 + i)[row].as_py() for i in range(4)])
+                yield spanning(linked(x, y, percent), x, y)
+
+    links.append(scratch.stage(joined.select("hub", "hub_set", *_PARTS).mapInArrow(run, "a long, b long").filter("a < b"), "near-links"))
+    now = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links[0]).unionByName(links[1]), scratch)
+    rest = scratch.stage(_opened(several.select("region", "node", "n_shingles"), now, scratch).filter("component != main"), "near-rest")
+    if not rest.head(1):
+        return links
+    # The rest is dealt into fewer blocks, each of which meets all blocks of its region.
+    share = rest.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    fewer = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("s") * 8 / BLOCK_BYTES))
+    share = scratch.stage(share.select("region", fewer.alias("blocks")), "near-share")
+    rest = rest.select("region", "node", "component", F.col("blocks").alias("of")).join(_few(share), "region")
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    packed = scratch.stage(_blocks(dealt, sets, None).select("region", *[F.col(c).alias(f"rest_{c}") for c in _PARTS]), "near-rest-blocks")
+    meeting = packed.join(_few(rest.select("region", "of").distinct()), "region")
+    meeting = meeting.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1))).drop("of")
+    meeting = meeting.join(blocks.select("region", "block", *_PARTS), ["region", "block"])
+    links.append(scratch.stage(_met(meeting, [f"rest_{c}" for c in _PARTS], _PARTS, percent), "near-links"))
+    return links
+
+
+def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches."""
-    both = common.stage(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "near-edges")
-    labels = common.stage(both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("component")), "near-labels")
+    both = scratch.stage(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "near-edges")
+    labels = scratch.stage(both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("component")), "near-labels")
     while True:
         sent = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("component").alias("got"))
-        told = labels.join(sent, labels["node"] == sent["v"]).select("node", F.col("component").alias("old"), F.least("component", "got").alias("component"))
-        told = common.stage(told, "near-labels")
-        if not told.filter("component < old").head(1):
-            return told.select("node", "component")
-        jump = told.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        labels = told.join(jump, told["component"] == jump["at"], "left").select("node", F.least("component", "further").alias("component"))
-        labels = common.stage(labels, "near-labels")
+        told = labels.join(sent, labels["node"] == sent["v"]).select("node", F.col("component").alias("old"), F.least("component", "got").alias("near"))
+        jump = told.select(F.col("node").alias("at"), F.col("near").alias("further"))
+        labels = told.join(jump, told["near"] == jump["at"], "left").select("node", "old", F.least("near", "further").alias("component"))
+        labels = scratch.stage(labels, "near-labels")
+        if not labels.filter("component < old").head(1):
+            return labels.select("node", "component")
+        labels = labels.drop("old")
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all documents, classes (rep, class keys, signature), and confirmed links (a, b) that span the components."""
+    """Sketches of all documents, classes (node, rep, class keys, n_shingles, signature), and (node, component) of the linked ones."""
+    spark = docs.sparkSession
     rows = common.stage(sketch(docs, width), "near-sketches")
-    classes = (
-        rows.filter("n_shingles > 0")
-        .groupBy("class_a", "class_b", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
-        .filter("rep is not null")
-    )
-    classes = common.stage(classes, "near-classes")
-    pairs, members = candidates(classes, classes.count())
-    pairs = common.stage(pairs, "near-pairs")
-
-    def linked(some: DataFrame) -> DataFrame:
-        alike = common.stage(_alike(some, classes, percent / 100), "near-alike")
-        wanted = common.stage(alike.select("a").union(alike.select("b")).distinct().toDF("doc_id"), "near-wanted")
-        return common.stage(confirmed(alike, common.stage(_sets(docs, wanted, width), "near-sets"), percent), "near-links")
-
-    links = closed(members, classes, percent, linked)
-    for turn in (1, 2):
-        labels = components(links)
-        apart = pairs.filter(F.col("turn") == turn).join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-        apart = apart.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        links = links.unionByName(linked(apart))
-    return rows, classes, links
+    grouped = rows.filter("n_shingles > 0").groupBy("class_a", "class_b", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    classes = common.stage(grouped.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    with common.Scratch(spark) as scratch:
+        pairs, members = candidates(classes, classes.count(), scratch)
+        alike = scratch.stage(_alike(pairs, classes, percent), "near-alike")
+        wanted = alike.select("a").union(alike.select("b")).union(members.select("node")).distinct().toDF("node")
+        wanted = scratch.stage(wanted.join(classes.select("node", "rep", "class_a", "class_b", "n_shingles"), "node"), "near-wanted")
+        sets = scratch.stage(_sets(docs, wanted.drop("n_shingles"), width), "near-sets")
+        links = [scratch.stage(confirmed(alike, sets, percent), "near-links")]
+        members = members.join(_few(wanted.select("node", "n_shingles")), "node")
+        labels, first = components(links[0], scratch), 0
+        for stop in TURNS:
+            more = closed(members.filter((F.col("tree") >= first) & (F.col("tree") < stop)), sets, labels, percent, scratch)
+            if more:
+                links += more
+                labels = components(_all(links), scratch)
+            first = stop
+        labels = common.stage(labels, "near-components")
+    return rows, classes, labels
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def groups(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
-    rows, classes, links = link(docs, width, percent)
-    labels = components(links)
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select(
-        F.col("class_a").alias("ka"), F.col("class_b").alias("kb"), F.col("n_shingles").alias("kn"), F.coalesce("component", "rep").alias("component")
-    )
+    rows, classes, labels = link(docs, width, percent)
+    named = classes.join(labels.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left").withColumn("component", F.coalesce("component", "node"))
+    least = common.stage(named.groupBy("component").agg(F.min("rep").alias("least")), "near-least")
+    named = named.join(least, "component").select(F.col("class_a").alias("ka"), F.col("class_b").alias("kb"), F.col("n_shingles").alias("kn"), "least")
     named = common.stage(named, "near-named")
     rows = rows.select("doc_id", "n_shingles", "class_a", "class_b")
     same = (rows["class_a"] == named["ka"]) & (rows["class_b"] == named["kb"]) & (rows["n_shingles"] == named["kn"])
     out = rows.join(named, same, "left")
-    component = F.coalesce("component", "doc_id")
+    component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -18,8 +18,11 @@ import functools
 import json
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .span_hash import SpanHasher
 
@@ -302,6 +305,18 @@ def sliced(texts: list[str | None], limit: int = SLICE_BYTES):
         yield first, run
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
+    """(ids, texts) runs of about ``limit`` bytes of batches of (id, text); nulls are empty.  Only a run at a time becomes Python strings."""
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            done = int(size[first - 1]) if first else 0
+            stop = max(first + 1, int(np.searchsorted(size, done + limit, "right")))
+            yield batch.column(0).slice(first, stop - first), [t or "" for t in batch.column(1).slice(first, stop - first).to_pylist()]
+            first = stop
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One encoder for each tokenizer file in a worker process."""

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lodewright.llm import anisotropic_ann as ann
+from lodewright.llm import common
 from lodewright.llm import minhash_forest as forest
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -28,6 +29,8 @@ def components(texts, width, percent):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
+            if 100 * min(len(sets[a]), len(sets[b])) < percent * max(len(sets[a]), len(sets[b])):
+                continue
             both = len(sets[a] & sets[b])
             if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((top(a), top(b)))
@@ -97,7 +100,9 @@ def test_regions_go_on_over_the_borders_of_ranges(spark, monkeypatch):
     assert [x["component_id"] for x in got] == [0]
 
 
-def test_members_that_no_hub_links_all_meet(spark):
+@pytest.mark.parametrize("block", [512, 16])
+def test_members_that_no_hub_links_all_meet(spark, monkeypatch, block):
+    monkeypatch.setattr(forest, "BLOCK", block)
     r = random.Random(6)
     base = [f"w{k}" for k in range(1000)]
     rows = []
@@ -112,9 +117,44 @@ def test_members_that_no_hub_links_all_meet(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_shared_shingles_are_counted_exactly():
+    rng = np.random.default_rng(5)
+    common_part = rng.integers(0, 1 << 62, 3000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(common_part, 400), rng.integers(0, 1 << 62, 90, dtype=np.uint64)])) for _ in range(60)]
+    sets += [sets[3], np.zeros(0, np.uint64), sets[5][:50]]
+    x = forest.Block.of([(i, i, v.tobytes()) for i, v in enumerate(sets)])
+    y = forest.Block.of([(i, i, v.tobytes()) for i, v in enumerate(sets[20:], 20)])
+    want = [[len(np.intersect1d(a, b)) for b in sets[20:]] for a in sets]
+    assert forest.shared(x, y).tolist() == want
+    links = forest.linked(x, y, 10)
+    tied = forest.spanning(links, x, y).to_pydict()
+    assert 0 < len(tied["a"]) < 2 * len(sets)
+    for a, b in zip(tied["a"], tied["b"], strict=True):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert a < b and 100 * both >= 10 * (len(sets[a]) + len(sets[b]) - both)
+
+
+def test_rows_of_one_id_cost_one_set_each_text(spark):
+    rows = [(1, "one text of the same words as others have")] * 300 + [(1, "quite another text under the same id here")] * 300 + [(2, "ONE text of the same words as others have")]
+    got = forest.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 601 and {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(1, 1, True), (2, 1, False)}
+
+
+def test_all_links_of_real_texts_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = components([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], 5, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in forest.groups(docs, 5, 80).collect()}
+    assert got == want
+
+
+def components_of(spark, links):
+    with common.Scratch(spark) as scratch:
+        return forest.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()
+
+
 def test_components_of_long_chains(spark):
     chain = [(i, i + 1) for i in range(100, 140)] + [(1, 2)]
-    got = {r["node"]: r["component"] for r in forest.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components_of(spark, chain)}
     assert got == {i: 100 for i in range(100, 141)} | {1: 1, 2: 1}
 
 
