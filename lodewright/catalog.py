@@ -1,34 +1,17 @@
-"""The catalogue: every registered query, and DuckDB SQL with the same result where SQL can express it."""
+"""The catalogue: queries of single operators, each with DuckDB SQL of the same result; systems are in ``catalog_systems``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import catalog_sql as S
 from . import inputs as I
-from .conf import Retrieval
+from .conf import Graph
 from .functions import boxes, text, vectors
 from .operators import dense, evidence, extraction, fusion, graph, lexical, metrics, models, questions, regions
-from .plans import evaluation, systems
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import query
+from .staging import stage
 
 def joined(ids: str):
     return F.array_join(F.col(ids), ",")
@@ -274,9 +257,9 @@ def interleave_modalities(spark, sf_dir):
 
 def _graph(spark, sf_dir):
     r = I.graph_regions(spark, sf_dir)
-    m = extraction.mentions(r)
-    nodes = graph.build_nodes(m)
-    return m, nodes, graph.build_edges(extraction.relations(r, m), nodes), graph.link(I.graph_questions(spark, sf_dir), nodes)
+    m = stage(extraction.mentions(r), "mentions")
+    nodes = stage(graph.build_nodes(m), "nodes")
+    return m, nodes, stage(graph.build_edges(extraction.relations(r, m), nodes), "edges"), graph.link(I.graph_questions(spark, sf_dir), nodes)
 
 
 _G = f"WITH {I.GRAPH_REGIONS_SQL}, {I.GRAPH_QUESTIONS_SQL}, {S.graph()}"
@@ -299,6 +282,27 @@ def kg_relations(spark, sf_dir):
     return _graph(spark, sf_dir)[2]
 
 
+@query(_G + " SELECT head, tail, relation_type, max(region_id) AS source_region_id FROM rel WHERE head IN (SELECT id FROM nodes) AND tail IN (SELECT id FROM nodes) GROUP BY 1, 2, 3")
+def kg_edges_last(spark, sf_dir):
+    """Edges that name the region of their last statement."""
+    r = I.graph_regions(spark, sf_dir)
+    m = stage(extraction.mentions(r), "mentions")
+    return graph.build_edges(extraction.relations(r, m), graph.build_nodes(m), keep="last")
+
+
+@query(_G + " SELECT node_id AS id, region_id, row_number() OVER (PARTITION BY node_id ORDER BY region_id)::INT - 1 AS pos FROM (SELECT DISTINCT node_id, region_id FROM m WHERE node_id IN (SELECT node_id FROM seeds))")
+def kg_node_regions(spark, sf_dir):
+    """All regions of the nodes that questions name."""
+    m, _, _, seeds = _graph(spark, sf_dir)
+    return graph.regions_of(graph.build_nodes(m, "accumulate"), seeds.select(F.col("node_id").alias("id")))
+
+
+@query("WITH " + I.REGIONS_SQL + " SELECT region_id, md5(text) AS text_md5 FROM regions WHERE region_type IN ('text', 'title', 'list') AND text <> '' ORDER BY region_id LIMIT 400")
+def kg_input(spark, sf_dir):
+    """The regions that extraction by a language model is asked about: the first 400 with text, which is the setting's meaning."""
+    return regions.graph_input(I.regions(spark, sf_dir), Graph().max_regions_for_extraction).select("region_id", F.md5("text").alias("text_md5"))
+
+
 @query(_G + " SELECT region_id, name AS finding FROM m WHERE entity_type = 'finding'")
 def kg_findings(spark, sf_dir):
     return _graph(spark, sf_dir)[0].filter("entity_type = 'finding'").select("region_id", F.col("name").alias("finding"))
@@ -333,6 +337,17 @@ def kg_paths(spark, sf_dir):
     return graph.paths(seeds, nodes, edges, 1).select("query_id", "n", F.array_join("path", " > ").alias("path"))
 
 
+@query(_G + """, s0 AS (SELECT query_id, rank AS sr, node_id FROM seeds),
+one AS (SELECT query_id, sr, w.v AS target, min(s0.node_id || ' > ' || w.v) AS path FROM s0 JOIN ways w ON w.u = s0.node_id AND w.v <> s0.node_id GROUP BY 1, 2, 3),
+two AS (SELECT o.query_id, o.sr, w.v AS target, min(o.path || ' > ' || w.v) AS path FROM one o JOIN s0 ON s0.query_id = o.query_id AND s0.sr = o.sr JOIN ways w ON w.u = o.target AND w.v <> o.target AND w.v <> s0.node_id
+  WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.query_id = o.query_id AND x.sr = o.sr AND x.target = w.v) GROUP BY 1, 2, 3)
+SELECT query_id, n::INT AS n, path FROM (SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY sr, target) AS n FROM (SELECT * FROM one UNION ALL SELECT * FROM two)) WHERE n <= 40""")
+def kg_paths_2(spark, sf_dir):
+    """Paths of up to two edges."""
+    _, nodes, edges, seeds = _graph(spark, sf_dir)
+    return graph.paths(seeds, nodes, edges, 2, 40).select("query_id", "n", F.array_join("path", " > ").alias("path"))
+
+
 @query(_G + """, o AS (SELECT r.query_id, n.region_id, min(((s.node_id IS NOT NULL)::INT)::VARCHAR || r.node_id) AS place_at FROM reach1 r JOIN nodes n ON n.id = r.node_id LEFT JOIN seeds s ON s.query_id = r.query_id AND s.node_id = r.node_id GROUP BY 1, 2)
   SELECT query_id, region_id, rank::INT AS rank FROM (SELECT query_id, region_id, row_number() OVER (PARTITION BY query_id ORDER BY place_at) AS rank FROM o) WHERE rank <= 5""")
 def kg_regions(spark, sf_dir):
@@ -348,110 +363,6 @@ def kg_describe(spark, sf_dir):
     return graph.describe(graph.expand(seeds, nodes, edges, 1), nodes, edges)
 
 
-# ------------------------------------------------------------------ systems and evaluation
-
-
-def _corpus(spark, sf_dir) -> systems.Corpus:
-    """Document chunks and graph sentences as one text corpus; tables and figures as visual regions."""
-    documents = I.document_chunks(spark, sf_dir).drop("head")
-    sentences = I.graph_regions(spark, sf_dir)
-    stated = sentences.select(F.concat("region_id", F.lit("#c0")).alias("chunk_id"), F.lit("P").alias("doc_id"), F.lit("0").alias("page_id"), "text", F.array("region_id").alias("source_region_ids"))
-    chunks = documents.unionByName(stated)
-    pages = I.regions(spark, sf_dir)
-    seen = regions.visual_with_text(pages)
-    m = extraction.mentions(sentences)
-    nodes = graph.build_nodes(m)
-    return systems.Corpus(
-        chunks, pages, systems.embed(chunks, "chunk_id"), systems.embed(seen, "region_id", modality="visual_text"), None, nodes, graph.build_edges(extraction.relations(sentences, m), nodes)
-    )
-
-
-def _asked(spark, sf_dir) -> DataFrame:
-    return I.questions(spark, sf_dir).select("query_id", "question").unionByName(I.graph_questions(spark, sf_dir))
-
-
-@query(f"WITH {S.QUESTIONS}" + """, tok AS (SELECT id, k, ((instr('0123456789abcdef', substr(md5(t), 31, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(t), 32, 1)) - 1) % 64 AS slot FROM (
-  SELECT id, k, regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '[^\\p{L}\\p{N}]', '', 'g') AS t FROM (SELECT 'd' AS k, printf('D%07d', doc_id) AS id, text FROM documents UNION ALL SELECT 'q', query_id, question FROM q)) WHERE t <> ''),
-v AS (SELECT k, id, slot, count(*)::DOUBLE AS n FROM tok GROUP BY 1, 2, 3),
-nn AS (SELECT k, id, sqrt(sum(n * n)) AS norm FROM v GROUP BY 1, 2),
-ps AS (SELECT a.id AS query_id, b.id AS item_id, sum(a.n * b.n) AS dot FROM v a JOIN v b ON a.slot = b.slot AND a.k = 'q' AND b.k = 'd' GROUP BY 1, 2),
-sc AS (SELECT q.query_id, printf('D%07d', d.doc_id) AS item_id, coalesce(ps.dot / (x.norm * y.norm), 0) AS score FROM q CROSS JOIN documents d LEFT JOIN ps ON ps.query_id = q.query_id AND ps.item_id = printf('D%07d', d.doc_id)
-  LEFT JOIN nn x ON x.k = 'q' AND x.id = q.query_id LEFT JOIN nn y ON y.k = 'd' AND y.id = printf('D%07d', d.doc_id))
-SELECT query_id, item_id, round(score, 5) AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM sc) WHERE rank <= 5""")
-def sys_baseline(spark, sf_dir):
-    chunks = I.document_chunks(spark, sf_dir)
-    c = systems.Corpus(chunks, I.regions(spark, sf_dir), systems.embed(chunks, "chunk_id"))
-    return systems.baseline(c, systems.query_vectors(I.questions(spark, sf_dir))).select("query_id", "item_id", F.round("score", 5).alias("score"), "rank")
-
-
-@query(_BM25 + " SELECT query_id, item_id, round(score, 6) AS score, 'lexical' AS modality, rank::INT AS rank FROM b")
-def sys_bm25(spark, sf_dir):
-    c = systems.Corpus(I.document_chunks(spark, sf_dir), None, None)
-    return systems.bm25(c, I.questions(spark, sf_dir)).withColumn("score", F.round("score", 6))
-
-
-@query()
-def sys_random(spark, sf_dir):
-    return systems.random(systems.Corpus(I.document_chunks(spark, sf_dir), None, None), I.questions(spark, sf_dir))
-
-
-@query()
-def sys_enhanced(spark, sf_dir):
-    c, asked = _corpus(spark, sf_dir), _asked(spark, sf_dir)
-    fused, seen = systems.enhanced(c, asked, systems.query_vectors(asked), Retrieval())
-    kind = lambda df, name: df.select("query_id", F.lit(name).alias("kind"), "item_id", F.round("score", 6).alias("score"), "modality", "rank")
-    return kind(fused, "text").unionByName(kind(seen, "visual"))
-
-
-@query()
-def answers_enhanced(spark, sf_dir):
-    """Evidence, prompts and answers of the offline model for all questions."""
-    c, asked = _corpus(spark, sf_dir), _asked(spark, sf_dir)
-    fused, seen = systems.enhanced(c, asked, systems.query_vectors(asked), Retrieval())
-    out = systems.answers(c, asked, fused, seen)
-    return out.select("query_id", F.md5("prompt").alias("prompt_md5"), "answer", F.size(text.citations(F.col("answer"))).alias("n_citations"))
-
-
-def _lexical_systems(spark, sf_dir) -> DataFrame:
-    """The log of two lexical systems: on whole texts, and on the heads of texts."""
-    chunks, asked = I.document_chunks(spark, sf_dir), I.questions(spark, sf_dir)
-    known = chunks.select("chunk_id", "source_region_ids")
-    ranked = {}
-    for name, col in (("whole", "text"), ("head", "head")):
-        hits = lexical.top_k(chunks, asked, 10, "chunk_id", col).select("query_id", "item_id", F.col("rank").alias("place"))
-        ranked[name] = fusion.as_regions(hits, known)
-    return evaluation.log(I.question_set(spark, sf_dir), ranked)
-
-
-_EVAL = f"""WITH {S.QUESTIONS}, {S.CHUNKS}, {S.GOLD}, {S.bm25('b', 'c', 'chunk_id', 'text', 10)}, {S.bm25('h', 'c', 'chunk_id', 'head', 10)},
-elog AS (SELECT 'whole' AS system, query_id, 'R' || substr(item_id, 2) AS region_id, rank FROM b UNION ALL SELECT 'head', query_id, 'R' || substr(item_id, 2), rank FROM h),
-{S.scores('elog')}"""
-
-
-def _rounded(report: DataFrame) -> DataFrame:
-    return report.select("system", "segment", "n", *[F.round(c, 6).alias(c) for c in report.columns[3:]])
-
-
-@query(_EVAL + " SELECT * FROM report")
-def eval_by_segment(spark, sf_dir):
-    return _rounded(evaluation.report(_lexical_systems(spark, sf_dir)))
-
-
-@query(_EVAL + """ SELECT a.segment, round(a.recall_5 - b.recall_5, 4) AS recall_5, round(a.mrr - b.mrr, 4) AS mrr FROM (SELECT * FROM report WHERE system = 'whole') a JOIN (SELECT * FROM report WHERE system = 'head') b ON a.segment = b.segment""")
-def eval_deltas(spark, sf_dir):
-    return metrics.deltas(_rounded(evaluation.report(_lexical_systems(spark, sf_dir))), "head", "whole", 5)
-
-
-@query(_EVAL + " SELECT * FROM report")
-def verify_log(spark, sf_dir):
-    """The report again, from a log that went through its JSON form."""
-    log = _lexical_systems(spark, sf_dir)
-    fields = ["qa_id", "question", "query_type", "gold_region_ids", "retrieved_region_ids"]
-    written = log.select("system", F.to_json(F.struct(*fields)).alias("record"))
-    read = written.select("system", F.from_json("record", "qa_id string, question string, query_type string, gold_region_ids array<string>, retrieved_region_ids array<string>").alias("r"))
-    return _rounded(evaluation.report(read.select("system", "r.*")))
-
-
 # ------------------------------------------------------------------ answers, judges, caches
 
 
@@ -518,16 +429,6 @@ def stub_answers(spark, sf_dir):
     return evidence.stub_answers(asked).select("query_id", "answer")
 
 
-@query()
-def qa_build_stub(spark, sf_dir):
-    """Question candidates of all three kinds, answered by an offline model that asks about a passage's first words."""
-    r = I.regions(spark, sf_dir)
-    chunks = regions.region_chunks(r)
-    pool = questions.text_pool(chunks).unionByName(questions.visual_pool(r)).unionByName(questions.pair_pool(chunks))
-    said = F.to_json(F.struct(F.concat(F.lit("Which result concerns the topic of "), F.substring("passage", 1, 30), F.lit("?")).alias("question"), F.substring("passage", 1, 20).alias("answer")))
-    return questions.accepted(pool.withColumn("reply", F.concat(F.lit("```json\n"), said, F.lit("\n```"))), 25)
-
-
 @query("""WITH """ + I.REGIONS_SQL + """, ch AS (SELECT doc_id FROM regions WHERE region_type IN ('text', 'title', 'list') AND length(trim(text)) >= 40), p AS (
   SELECT 'text_answerable' AS query_type, count(*) AS n FROM regions WHERE region_type IN ('text', 'title', 'list') AND length(trim(text)) > 200
   UNION ALL SELECT 'visual_requiring', count(*) FROM regions WHERE region_type IN ('table', 'figure') AND length(text) > 20 UNION ALL SELECT 'multi_hop', count(*) FROM (SELECT doc_id FROM ch GROUP BY 1 HAVING count(*) >= 2)) SELECT * FROM p""")
@@ -538,18 +439,37 @@ def qa_pools(spark, sf_dir):
     return pool.groupBy("query_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four systems over the documents, compared segment by segment."""
-    c, asked = _corpus(spark, sf_dir), I.questions(spark, sf_dir).select("query_id", "question")
-    v = systems.query_vectors(asked)
-    fused, seen = systems.enhanced(c, asked, v)
-    retrieved = {
-        systems.BASELINE: systems.retrieved_regions(c, systems.baseline(c, v)),
-        systems.ENHANCED: systems.retrieved_regions(c, fused, seen),
-        systems.BM25: systems.retrieved_regions(c, systems.bm25(c, asked)),
-        systems.RANDOM: systems.retrieved_regions(c, systems.random(c, asked)),
-    }
-    return _rounded(evaluation.report(evaluation.log(I.question_set(spark, sf_dir), retrieved)))
+@query("SELECT l_orderkey, l_linenumber, (CASE WHEN h > 0 AND h < 20 THEN greatest(1, floor(w * (20::DOUBLE / h))) ELSE w END)::INT AS width, (CASE WHEN h > 0 AND h < 20 THEN 20 ELSE h END)::INT AS height FROM (SELECT l_orderkey, l_linenumber, l_quantity::INT AS w, (l_linenumber * 5)::INT AS h FROM lineitem)")
+def ocr_upscale(spark, sf_dir):
+    """Sizes of crops before reading: low ones are enlarged in proportion."""
+    size = boxes.upscaled(F.col("l_quantity").cast("int"), (F.col("l_linenumber") * 5).cast("int"), 20)
+    out = I.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", size.alias("s"))
+    return out.select("l_orderkey", "l_linenumber", F.col("s")["width"].alias("width"), F.col("s")["height"].alias("height"))
+
+
+@query("WITH " + I.REGIONS_SQL + """, k AS (SELECT region_id, CASE WHEN i % 2 = 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) ELSE trim(regexp_replace('read ' || text, '\\s+', ' ', 'g')) END AS t, CASE WHEN i % 2 = 0 THEN 0.5 ELSE 0.9 END AS c FROM regions)
+  SELECT region_id, md5(t) AS text_md5, c::DOUBLE AS ocr_confidence FROM k""")
+def ocr_regions(spark, sf_dir):
+    """Regions read anew: every other one from a cache, the rest by an engine."""
+    r = I.regions(spark, sf_dir)
+    number = F.regexp_extract("region_id", "(\\d+)$", 1).cast("int")
+    cache = r.filter(number % 2 == 0).select("region_id", "text", F.lit(0.5).alias("confidence"))
+    read = I.regions(spark, sf_dir).select("region_id", F.concat(F.lit("read \n"), F.coalesce("text", F.lit(""))).alias("text"), F.lit(0.9).alias("confidence"))
+    engine = lambda missing: missing.select("region_id").join(read, "region_id")
+    return regions.read_text(r, cache, engine).select("region_id", F.md5("text").alias("text_md5"), "ocr_confidence")
+
+
+@query(f"WITH {S.QUESTIONS}, {S.GOLD}" + """, n AS (SELECT q.query_type, q.query_id, count(g.region_id) AS c FROM q LEFT JOIN gold g ON g.query_id = q.query_id GROUP BY 1, 2)
+  SELECT coalesce(query_type, 'total') AS query_type, count(*) AS n, round(avg(c), 2) AS mean_gold_regions FROM n GROUP BY ROLLUP (query_type)""")
+def qa_stats(spark, sf_dir):
+    return questions.statistics(I.question_set(spark, sf_dir))
+
+
+_PAIRS = _CHUNKED + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ('0x' || substr(md5('42/' || chunk_id), 1, 15))::BIGINT, chunk_id) AS n, count(*) OVER (PARTITION BY doc_id) AS c FROM ch)"""
 
 
-QUERIES["eval_four_systems"] = flagship
+@query(_PAIRS + " SELECT a.doc_id, a.region_id || ',' || b.region_id AS gold, md5(a.text || ' ' || b.text) AS passage_md5 FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.n = 1 AND b.n = 2 WHERE a.c >= 2")
+def qa_pairs(spark, sf_dir):
+    """The two chunks that each document's multi-hop question is asked about."""
+    pairs = questions.pair_pool(regions.region_chunks(I.regions(spark, sf_dir)))
+    return pairs.select("doc_id", joined("gold_region_ids").alias("gold"), F.md5("passage").alias("passage_md5"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from .functions.text import STOPWORDS
+from .functions.text import STOPWORDS, STUB_DIGEST
 from .operators import lexicon
+from .operators.evidence import PROMPT
 
 _STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
@@ -28,8 +29,51 @@ def bm25(name: str, docs: str, doc_id: str, text: str, k: int) -> str:
   FROM q CROSS JOIN {docs} d LEFT JOIN {n}_s s ON s.query_id = q.query_id AND s.item_id = d.{doc_id}) WHERE rank <= {k})"""
 
 
+def distinct_tokens(column: str) -> str:
+    """The distinct tokens of a text as a list."""
+    return f"list_distinct([x FOR x IN regexp_extract_all(lower({column}), '[a-z0-9]+') IF x NOT IN ({_STOP})])"
+
+
+def hashed(name: str, items: str, queries: str, k: int) -> str:
+    """CTEs that end in ``name`` (query_id, item_id, score, rank): cosine similarity of hashed tokens, for a select of (id, text) and a relation of (query_id, question)."""
+    n = name
+    return f"""{n}_i AS ({items}),
+{n}_t AS (SELECT k, id, ((instr('0123456789abcdef', substr(md5(t), 31, 1)) - 1) * 16 + instr('0123456789abcdef', substr(md5(t), 32, 1)) - 1) % 64 AS slot FROM (
+  SELECT k, id, regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS t FROM (SELECT 'd' AS k, id, text FROM {n}_i UNION ALL SELECT 'q', query_id, question FROM {queries})) WHERE t <> ''),
+{n}_v AS (SELECT k, id, slot, count(*)::DOUBLE AS n FROM {n}_t GROUP BY 1, 2, 3),
+{n}_n AS (SELECT k, id, sqrt(sum(n * n)) AS norm FROM {n}_v GROUP BY 1, 2),
+{n}_p AS (SELECT a.id AS query_id, b.id AS item_id, sum(a.n * b.n) AS dot FROM {n}_v a JOIN {n}_v b ON a.slot = b.slot AND a.k = 'q' AND b.k = 'd' GROUP BY 1, 2),
+{n}_s AS (SELECT u.query_id, i.id AS item_id, coalesce(p.dot / (x.norm * y.norm), 0) AS score FROM {queries} u CROSS JOIN {n}_i i LEFT JOIN {n}_p p ON p.query_id = u.query_id AND p.item_id = i.id
+  LEFT JOIN {n}_n x ON x.k = 'q' AND x.id = u.query_id LEFT JOIN {n}_n y ON y.k = 'd' AND y.id = i.id),
+{n} AS (SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) AS rank FROM {n}_s) WHERE rank <= {k})"""
+
+
+def random_floor(name: str, items: str, queries: str, k: int, seed: int = 42, draws: int = 16) -> str:
+    """CTEs that end in ``name`` (query_id, item_id, rank): items at drawn places of a seeded order; more than ``draws`` * ``k`` items."""
+    n, number = name, "('0x' || substr(md5({}), 1, 15))::BIGINT"
+    return f"""{n}_o AS (SELECT id, row_number() OVER (ORDER BY {number.format(f"'{seed}/' || id")}, id) - 1 AS spot FROM ({items})),
+{n}_c AS (SELECT count(*) AS c FROM {n}_o),
+{n}_d AS (SELECT query_id, i, {number.format(f"'{seed}/' || query_id || '/' || i")} % c AS spot FROM (SELECT query_id, unnest(range({draws * k})) AS i FROM {queries}), {n}_c),
+{n} AS (SELECT d.query_id, o.id AS item_id, d.rank FROM (SELECT query_id, spot, row_number() OVER (PARTITION BY query_id ORDER BY min(i), spot) AS rank FROM {n}_d GROUP BY 1, 2) d JOIN {n}_o o ON o.spot = d.spot WHERE d.rank <= {k})"""
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def prompt(evidence: str, question: str, example: str) -> str:
+    """The answer prompt as SQL."""
+    a, b, c, d = PROMPT.split("%s")
+    return f"{quoted(a)} || {evidence} || {quoted(b)} || {question} || {quoted(c)} || coalesce(nullif({example}, ''), 'id') || {quoted(d)}"
+
+
+def stub(prompt: str) -> str:
+    """The offline model's answer to a prompt without triggers, as SQL."""
+    return f"{quoted(STUB_DIGEST[0])} || substr(sha256({prompt}), 1, 8) || {quoted(STUB_DIGEST[1])}"
+
+
 QUESTIONS = """q AS (SELECT printf('B%05d', item_id) AS query_id, text AS question, (['text_answerable', 'visual_requiring', 'multi_hop'])[item_id % 3 + 1] AS query_type FROM benchmark)"""
-CHUNKS = "c AS (SELECT printf('D%07d', doc_id) AS chunk_id, text, substr(text, 1, 200) AS head FROM documents)"
+CHUNKS = "c AS (SELECT printf('D%07d', doc_id) AS chunk_id, text FROM documents)"
 GOLD = "gold AS (SELECT q.query_id, printf('R%07d', d.doc_id) AS region_id FROM q JOIN documents d ON contains(d.text, q.question))"
 
 
@@ -53,12 +97,12 @@ report AS (SELECT system, coalesce(query_type, 'overall') AS segment, count(*) A
 
 def mentions() -> str:
     """CTEs that end in ``m`` (region_id, entity_type, g, i, name, node_id), first mention of a node in a region."""
-    parts = [("method", p, 0) for p in lexicon.method_patterns()] + [("metric", lexicon.metric_pattern(), 1), ("figure_ref", lexicon.FIGURE_PATTERN, 0), ("dataset", lexicon.dataset_pattern(), 1)]
+    parts = [("method", p, 0) for p in lexicon.METHOD_PATTERNS] + [("metric", lexicon.METRIC_PATTERN, 1), ("figure_ref", lexicon.FIGURE_PATTERN, 0), ("dataset", lexicon.DATASET_PATTERN, 1)]
     selects = [
         f"SELECT region_id, '{kind}' AS entity_type, {g} AS g, generate_subscripts(x, 1) AS i, unnest(x) AS raw FROM (SELECT region_id, regexp_extract_all(text, '{p}', {group}) AS x FROM gregions WHERE length(trim(text)) >= 40)"
         for g, (kind, p, group) in enumerate(parts)
     ]
-    f = lexicon.finding_pattern()
+    f = lexicon.FINDING_PATTERN
     selects.append(
         f"SELECT region_id, 'finding', {len(parts)}, generate_subscripts(a, 1), unnest(a) || ' = ' || trim(unnest(b)) FROM (SELECT region_id, regexp_extract_all(text, '{f}', 1) AS a, regexp_extract_all(text, '{f}', 2) AS b FROM gregions WHERE length(trim(text)) >= 40)"
     )

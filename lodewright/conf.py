@@ -11,8 +11,20 @@ class SettingsError(ValueError):
     """A setting is unknown or out of range."""
 
 
+# Names of sections and settings in a settings file, and their defaults.
+
+
+@dataclass(frozen=True)
+class Paths:
+    data_dir: str = "data"
+    artifacts_dir: str = "artifacts"
+    results_dir: str = "results"
+    cache_dir: str = "artifacts/llm_cache"
+
+
 @dataclass(frozen=True)
 class Ingest:
+    dataset_url_template: str = "shard-{i:06d}.tar"
     num_shards: int = 1
     max_pages: int = 200
     min_region_side_px: float = 8.0
@@ -20,8 +32,8 @@ class Ingest:
     ocr_lang: str = "eng"
     ocr_psm: int = 6
     ocr_min_crop_height: int = 200
+    tesseract_cmd: str = ""
     save_crops: bool = True
-    shard_template: str = "shard-{index:06d}.tar"
 
 
 @dataclass(frozen=True)
@@ -34,17 +46,26 @@ class Chunking:
 
 @dataclass(frozen=True)
 class Models:
-    embedding_dim: int = 64
-    batch_size: int = 32
+    text_embed_model: str = "hashing-64"
+    text_embed_revision: str | None = None
+    clip_model: str = "hashing-64"
+    clip_revision: str | None = None
+    caption_model: str = ""
+    enable_captions: bool = False
+    embed_batch_size: int = 32
+    device: str = "auto"
 
 
 @dataclass(frozen=True)
 class Llm:
     backend: str = "stub"
     model: str = "stub"
+    local_model: str = ""
     max_tokens: int = 800
     temperature: float = 0.0
-    cache: bool = True
+    cache_enabled: bool = True
+    base_url: str = ""
+    api_key_env: str = ""
     timeout_s: float = 90.0
     max_retries: int = 5
     requests_per_minute: float = 30.0
@@ -55,7 +76,7 @@ class Retrieval:
     top_k: int = 5
     candidate_k: int = 20
     rrf_k: int = 60
-    use_bm25: bool = True
+    use_bm25_floor: bool = True
     graph_hops: int = 1
     max_graph_regions: int = 5
     text_weight: float = 1.0
@@ -65,30 +86,30 @@ class Retrieval:
 @dataclass(frozen=True)
 class Graph:
     extractor: str = "rule"
-    max_regions: int = 400
+    entity_types: tuple[str, ...] = ("method", "metric", "dataset", "finding", "figure_ref")
+    max_regions_for_extraction: int = 400
     batch_size: int = 5
-    min_text_chars: int = 40
 
 
 @dataclass(frozen=True)
 class Evaluation:
     k_values: tuple[int, ...] = (1, 3, 5, 10)
     primary_k: int = 5
-    questions_per_type: int = 25
-    judge: bool = True
-    judge_sample: int = 60
-    random_floor: bool = True
+    n_questions_per_type: int = 25
+    judge_enabled: bool = True
+    judge_sample_size: int = 60
+    include_random_floor: bool = True
     generate_answers: bool = True
-    max_overlap: float = 0.6
 
 
-_SECTIONS = {"ingest": Ingest, "chunk": Chunking, "models": Models, "llm": Llm, "retrieval": Retrieval, "kg": Graph, "eval": Evaluation}
-BACKENDS = ("stub", "local", "anthropic", "openai", "groq", "together", "openrouter")
+_SECTIONS = {"paths": Paths, "ingest": Ingest, "chunk": Chunking, "models": Models, "llm": Llm, "retrieval": Retrieval, "kg": Graph, "eval": Evaluation}
+BACKENDS = ("stub", "local", "anthropic", "groq", "together", "openrouter", "ollama", "openai_compatible")
 
 
 @dataclass(frozen=True)
 class Settings:
     seed: int = 42
+    paths: Paths = field(default_factory=Paths)
     ingest: Ingest = field(default_factory=Ingest)
     chunk: Chunking = field(default_factory=Chunking)
     models: Models = field(default_factory=Models)

@@ -23,19 +23,20 @@ def hashing(dim: int = 64) -> Callable[[], Embed]:
     def load() -> Embed:
         known: dict[str, int] = {}
 
-        def place(token: str) -> int:
-            if token not in known:
+        def place(word: str) -> int:
+            """The slot of a word, -1 if it has neither letters nor digits."""
+            if word not in known:
                 if len(known) > 1_000_000:
                     known.clear()
-                known[token] = int(hashlib.md5(token.encode()).hexdigest(), 16) % dim
-            return known[token]
+                token = "".join(c for c in word if c.isalnum())
+                known[word] = int(hashlib.md5(token.encode()).hexdigest(), 16) % dim if token else -1
+            return known[word]
 
         def embed(texts: Sequence[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for i, text in enumerate(texts):
-                for word in text.lower().split():
-                    if token := "".join(c for c in word if c.isalnum()):
-                        out[i, place(token)] += 1
+                slots = np.fromiter(map(place, text.lower().split()), np.int64)
+                out[i] = np.bincount(slots[slots >= 0], minlength=dim)
             return out
 
         return embed
@@ -53,3 +54,34 @@ def embedded(text: Column, load: Callable[[], Embed]) -> Column:
             yield pd.Series(list(embed(batch.fillna("").tolist())))
 
     return run(text)
+
+
+EmbedImages = Callable[[Sequence[bytes]], np.ndarray]
+
+
+def hashing_images(dim: int = 64) -> Callable[[], EmbedImages]:
+    """The offline default: an image counts as one token, its bytes, so equal images have equal vectors."""
+
+    def load() -> EmbedImages:
+        def embed(images: Sequence[bytes]) -> np.ndarray:
+            out = np.zeros((len(images), dim), np.float32)
+            for i, image in enumerate(images):
+                if image:
+                    out[i, int(hashlib.md5(image).hexdigest(), 16) % dim] = 1
+            return out
+
+        return embed
+
+    return load
+
+
+def embedded_images(image: Column, load: Callable[[], EmbedImages]) -> Column:
+    """Vectors of a column of image bytes; null images are empty."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        embed = load()
+        for batch in batches:
+            yield pd.Series(list(embed([b"" if x is None else bytes(x) for x in batch])))
+
+    return run(image)

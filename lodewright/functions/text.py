@@ -60,15 +60,21 @@ def cache_key(backend: Column, model: Column, prompt: Column, system: Column | N
     return F.sha2(F.concat(backend, zero, model, zero, system, zero, prompt, zero), 256)
 
 
+# What the offline model looks for in a prompt, its replies, and the frame of its digest.
+STUB_EXTRACTION = ("Return ONLY valid JSON", '{"entities": [], "relations": []}')
+STUB_JUDGE = ("faithfulness", '{"faithfulness": 1.0, "relevance": 1.0}')
+STUB_DIGEST = ("Stub answer derived from the provided context [", "].")
+
+
 def stub_answer(prompt: Column, responses: dict[str, str] | None = None) -> Column:
     """The offline model: given replies by trigger, fixed replies for extraction and judging, else a digest."""
     out = F
     for trigger, reply in (responses or {}).items():
         out = out.when(prompt.contains(trigger), F.lit(reply))
-    out = out.when(prompt.contains("Return ONLY valid JSON"), F.lit('{"entities": [], "relations": []}'))
-    out = out.when(F.lower(prompt).contains("faithfulness"), F.lit('{"faithfulness": 1.0, "relevance": 1.0}'))
+    out = out.when(prompt.contains(STUB_EXTRACTION[0]), F.lit(STUB_EXTRACTION[1]))
+    out = out.when(F.lower(prompt).contains(STUB_JUDGE[0]), F.lit(STUB_JUDGE[1]))
     digest = F.substring(F.sha2(prompt, 256), 1, 8)
-    return out.otherwise(F.concat(F.lit("Stub answer derived from the provided context ["), digest, F.lit("].")))
+    return out.otherwise(F.concat(F.lit(STUB_DIGEST[0]), digest, F.lit(STUB_DIGEST[1])))
 
 
 def json_object(reply: Column) -> Column:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_object
 from ..schema import ENTITY_TYPES
-from . import lexicon
+from ..staging import stage
+from . import lexicon, models
 
 MIN_TEXT = 40
 MAX_NAME = 60
@@ -31,9 +32,9 @@ def mentions(regions: DataFrame) -> DataFrame:
     text = F.trim("text")
     base = regions.filter(F.length(text) >= MIN_TEXT).select("region_id", text.alias("text"))
     found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-    groups = [("method", found(p, 0)) for p in lexicon.method_patterns()]
-    groups += [("metric", found(lexicon.metric_pattern(), 1)), ("figure_ref", found(lexicon.FIGURE_PATTERN, 0)), ("dataset", found(lexicon.dataset_pattern(), 1))]
-    metric, value = found(lexicon.finding_pattern(), 1), found(lexicon.finding_pattern(), 2)
+    groups = [("method", found(p, 0)) for p in lexicon.METHOD_PATTERNS]
+    groups += [("metric", found(lexicon.METRIC_PATTERN, 1)), ("figure_ref", found(lexicon.FIGURE_PATTERN, 0)), ("dataset", found(lexicon.DATASET_PATTERN, 1))]
+    metric, value = found(lexicon.FINDING_PATTERN, 1), found(lexicon.FINDING_PATTERN, 2)
     groups.append(("finding", F.zip_with(metric, value, lambda m, v: F.concat(m, F.lit(" = "), F.trim(v)))))
 
     def numbered(g: int, kind: str, names: Column) -> Column:
@@ -52,8 +53,8 @@ def relations(regions: DataFrame, found: DataFrame) -> DataFrame:
         F.col("h.node_id").alias("head"), F.col("t.node_id").alias("tail"), F.lit(name).alias("relation_type"), F.col("h.region_id").alias("source_region_id")
     )
     text = F.trim("text")
-    metric = F.regexp_extract_all("text", F.lit(lexicon.finding_pattern()), F.lit(1))
-    value = F.regexp_extract_all("text", F.lit(lexicon.finding_pattern()), F.lit(2))
+    metric = F.regexp_extract_all("text", F.lit(lexicon.FINDING_PATTERN), F.lit(1))
+    value = F.regexp_extract_all("text", F.lit(lexicon.FINDING_PATTERN), F.lit(2))
     stated = regions.filter(F.length(text) >= MIN_TEXT).select("region_id", text.alias("text"))
     stated = stated.select("region_id", F.explode(F.arrays_zip(metric.alias("m"), value.alias("v"))).alias("f"))
     name = _named(F.concat(F.col("f.m"), F.lit(" = "), F.trim(F.col("f.v"))))
@@ -104,3 +105,36 @@ def split_batch_replies(asked: DataFrame, replies: DataFrame) -> tuple[DataFrame
     by_index = parsed.select("batch", "pos", F.try_variant_get("r", "$.index", "int").alias("index"), F.to_json("r").alias("reply"))
     first = by_index.groupBy("batch", "index").agg(F.min(F.struct("pos", "reply"))["reply"].alias("reply"))
     return asked.join(first, ["batch", "index"]).select("region_id", "reply"), asked.join(first, ["batch", "index"], "left_anti").select("region_id", "excerpt")
+
+
+ONE_PROMPT = (
+    "Extract entities and relations from the scientific excerpt below. Return ONLY valid JSON of the form "
+    '{"entities": [{"name": "...", "type": "..."}], "relations": [{"head": "...", "tail": "...", "type": "..."}]}. '
+    "Types of entities: " + ", ".join(ENTITY_TYPES) + ". Heads and tails are names of listed entities. Leave out what the excerpt does not state.\n\nExcerpt:\n%s"
+)
+MANY_PROMPT = (
+    "Extract entities and relations from each numbered excerpt below, apart from the others. Return ONLY valid JSON of the form "
+    '{"results": [{"index": 0, "entities": [{"name": "...", "type": "..."}], "relations": [{"head": "...", "tail": "...", "type": "..."}]}]}, '
+    "with one result for each excerpt. Types of entities: " + ", ".join(ENTITY_TYPES) + ". Heads and tails are names of entities of the same result.\n\nExcerpts:\n%s"
+)
+ONE_CHARS, MANY_CHARS = 4000, 1500
+
+
+def from_model(regions: DataFrame, cache: DataFrame, model: models.Model, backend: str = "stub", name: str = "stub", size: int = 5, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Entities, relations, dropped counts, and new cache rows, of a language model asked about regions (region_id, text).
+
+    Regions go in batches of ``size``; those that a batch's reply leaves out are asked for one by one.
+    """
+    usable = regions.filter(F.length(F.trim("text")) >= MIN_TEXT)
+    asked = stage(batches(usable, size, MANY_CHARS), "extraction-batches")
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("index", "excerpt"))), lambda x: F.concat(F.lit("["), x["index"].cast("string"), F.lit("] "), x["excerpt"]))
+    prompts = models.keyed(asked.groupBy("batch").agg(F.format_string(MANY_PROMPT, F.array_join(lines, "\n\n")).alias("prompt")), backend, name)
+    first = stage(models.complete(prompts, cache, model, **options), "extraction-replies")
+    known = cache.select("key", "reply").unionByName(first).dropDuplicates(["key"])
+    replies, left = split_batch_replies(asked, prompts.join(known, "key").select("batch", "reply"))
+    singles = usable.join(left.select("region_id"), "region_id", "left_semi").select("region_id", F.format_string(ONE_PROMPT, F.substring(F.trim("text"), 1, ONE_CHARS)).alias("prompt"))
+    singles = stage(models.keyed(singles, backend, name), "extraction-singles")
+    second = stage(models.complete(singles, known, model, **options), "extraction-replies")
+    known = known.unionByName(second)
+    whole = stage(replies.unionByName(singles.join(known, "key").select("region_id", "reply")), "extraction-whole")
+    return *from_replies(whole), first.unionByName(second)

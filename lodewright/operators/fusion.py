@@ -5,11 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
 from . import checks
 
+#: Places that a query draws, times k: with more items than that, some k of them differ but for a chance below 1e-9 at k = 5.
+DRAWS = 16
+
 
 def reciprocal_rank(rankings: Sequence[DataFrame], k: int = 60, weights: Sequence[float] | None = None, top_n: int | None = None) -> DataFrame:
     """Sum of weight / (k + rank) for each query and item over rankings of (query_id, item_id, modality, rank).
@@ -67,39 +71,36 @@ def ranked_list(regions: DataFrame) -> DataFrame:
     return regions.groupBy("query_id").agg(F.transform(listed, lambda x: x["region_id"]).alias("retrieved"))
 
 
+def seeded(seed: int, *parts) -> Column:
+    """A number from 0 to 2**60 that follows from the seed and the parts, the same in any engine that has MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
 def random_floor(items: DataFrame, queries: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """``k`` distinct items for each query, chosen by seeded hashes; the same in every run.
+    """``k`` distinct items for each query, chosen by seeded hashes; the same in every run and at every size.
 
-    Items lie in the order of their hash; a query draws places in that order and takes the items
-    there, so the work is queries times draws, not queries times items.
+    Items lie in the order of their hash, then id.  A query draws places in that order and takes the
+    items there, so the work is queries times draws.  Places are counted within buckets of the hash, of
+    which there are as many at any size, so no task holds all items.  Of few items all are taken, in an order of the query's own.
     """
     checks.positive("k", k)
-    order = Window.orderBy("h", "item_id") if items.limit(_ONE_TASK + 1).count() <= _ONE_TASK else None
-    placed = items.select("item_id", F.xxhash64(F.lit(seed), "item_id").alias("h"))
-    if order is None:  # too many for one task: places are taken within buckets of the hash
-        bucket = F.shiftrightunsigned("h", 48)
-        placed = placed.withColumn("b", bucket)
-        sizes = placed.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-        before = F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-        sizes = sizes.select("b", F.coalesce(before, F.lit(0)).alias("before"))
-        inner = F.row_number().over(Window.partitionBy("b").orderBy("h", "item_id"))
-        placed = placed.withColumn("inner", inner).join(sizes, "b").withColumn("at", F.col("before") + F.col("inner") - 1)
-    else:
-        placed = placed.withColumn("at", F.row_number().over(order) - 1)
-    n = items.count()
+    placed = stage(items.select("item_id", seeded(seed, F.col("item_id")).alias("h")).withColumn("b", F.shiftright("h", 44)), "random-items")
+    sizes = placed.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))  # 65,536 buckets
+    sizes = sizes.select("b", F.coalesce(before, F.lit(0)).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("b").orderBy("h", "item_id"))
+    placed = placed.withColumn("inner", inner).join(sizes, "b").select("item_id", (F.col("before") + F.col("inner") - 1).alias("at"))
+    n = placed.count()
     if not n:
         return items.sparkSession.createDataFrame([], "query_id string, item_id string, score double, modality string, rank int")
     k = min(k, n)
-    draws = range(4 * k + 16) if n > 4 * k else range(0)
-    if n > 4 * k:
-        drawn = queries.select("query_id", F.posexplode(F.array(*[F.pmod(F.xxhash64(F.lit(seed), "query_id", F.lit(i)), F.lit(n)) for i in draws])).alias("i", "at"))
-    else:  # few items: all of them, in the order of a hash for the query
-        order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "at"), "at")
-        drawn = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("at")).withColumn("i", F.row_number().over(order))
+    if n > DRAWS * k:
+        turns = F.sequence(F.lit(0), F.lit(DRAWS * k - 1))
+        drawn = queries.select("query_id", F.explode(turns).alias("i")).withColumn("at", seeded(seed, F.col("query_id"), F.col("i").cast("string")) % n)
+    else:
+        drawn = queries.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("at"))
+        drawn = drawn.withColumn("i", seeded(seed, F.col("query_id"), F.col("at").cast("string")))
     drawn = drawn.groupBy("query_id", "at").agg(F.min("i").alias("i"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("i"))
-    taken = drawn.withColumn("rank", rank).filter(F.col("rank") <= k).join(placed.select("at", "item_id"), "at")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("i", "at"))
+    taken = drawn.withColumn("rank", rank).filter(F.col("rank") <= k).join(placed, "at")
     return taken.select("query_id", "item_id", F.lit(0.0).alias("score"), F.lit("random").alias("modality"), "rank")
-
-
-_ONE_TASK = 100_000

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..staging import stage
 from . import checks
 
 K1, B = 1.5, 0.75
@@ -39,21 +40,26 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(query_id, id, score) of documents that share a term with a query of (query_id, question); repeated terms count again."""
+    """(query_id, id, score) of documents that share a term with a query of (query_id, question); repeated terms count again.
+
+    Texts are tokenised once: lengths and postings come from a staged table of tokens.
+    """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = stage(asked, "lexical-terms")
     wanted = asked.select("term").distinct()
     if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
-    sized = docs.select(F.col(id_col), tokens(F.col(text)).alias("tokens"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text)))).alias("avgdl"))
+    sized = stage(docs.select(F.col(id_col), tokens(F.col(text)).alias("tokens")), "lexical-tokens")
+    stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     postings = (
         sized.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy(id_col, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    postings = stage(postings, "lexical-postings")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", _idf().alias("idf"))
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", _idf().alias("idf"))  # stats is one row
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return postings.join(weighted, "term").groupBy("query_id", id_col).agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))
 

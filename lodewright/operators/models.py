@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
+from ..staging import stage
 
 Model = Callable[[], Callable[[str, str | None], str]]
 
@@ -87,4 +88,4 @@ def complete(asked: DataFrame, cache: DataFrame, model: Model, system: str | Non
             yield pd.DataFrame({"key": batch["key"], "reply": replies})
 
     todo = misses(asked, cache).select("key", "prompt")
-    return (todo.coalesce(1) if per_minute else todo).mapInPandas(run, "key string, reply string")
+    return (stage(todo, "model-misses").repartition(1) if per_minute else todo).mapInPandas(run, "key string, reply string")

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import lexical_overlap, question_reply
+from . import models
+from .fusion import seeded
+from ..staging import stage
 
 TEXT_PROMPT = "Write one question that this passage answers, as JSON with question and answer.\n\n%s"
 VISUAL_PROMPT = "Write one question that this table or figure answers, as JSON with question and answer.\n\n%s"
@@ -13,7 +16,7 @@ PAIR_PROMPT = "Write one question that needs both passages, as JSON with questio
 
 
 def _shuffled(seed: int, key: str) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key))
+    return seeded(seed, F.col(key))
 
 
 def text_pool(chunks: DataFrame) -> DataFrame:
@@ -54,3 +57,11 @@ def statistics(questions: DataFrame) -> DataFrame:
     kind = F.when(F.grouping("query_type") == 1, "total").otherwise(F.col("query_type"))
     grouped = questions.rollup("query_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("gold_region_ids")), 2).alias("mean_gold_regions"), kind.alias("kind"))
     return grouped.select(F.col("kind").alias("query_type"), "n", "mean_gold_regions")
+
+
+def built(pool: DataFrame, cache: DataFrame, model: models.Model, n: int, backend: str = "stub", name: str = "stub", **options) -> tuple[DataFrame, DataFrame]:
+    """Questions accepted from a model's replies to a pool's prompts, and the new cache rows."""
+    asked = models.keyed(pool, backend, name)
+    new = stage(models.complete(asked, cache, model, **options), "questions-replies")
+    replies = cache.select("key", "reply").unionByName(new).dropDuplicates(["key"])
+    return accepted(asked.join(replies, "key"), n), new

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodewright import catalog
+from lodewright import catalog, catalog_systems, registry  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -29,13 +29,13 @@ def plain(df: pd.DataFrame) -> list[tuple]:
     return sorted((tuple(cell(v) for v in row) for row in df.itertuples(index=False)), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, duck, name):
-    got = catalog.QUERIES[name](spark, DATA)
-    if name not in catalog.ORACLE_SQL:
+    got = registry.QUERIES[name](spark, DATA)
+    if name not in registry.ORACLE_SQL:
         assert got.count() > 0
         return
-    got, want = got.toPandas(), duck.execute(catalog.ORACLE_SQL[name]).fetchdf()
+    got, want = got.toPandas(), duck.execute(registry.ORACLE_SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = plain(got), plain(want)
     assert len(a) == len(b)
@@ -44,5 +44,5 @@ def test_query(spark, duck, name):
 
 
 def test_entry(spark):
-    report = catalog.flagship(spark, DATA)
+    report = catalog_systems.eval_four_systems(spark, DATA)
     assert {r["system"] for r in report.collect()} == {"baseline_text_rag", "enhanced_multimodal_kg", "bm25_lexical_floor", "random_floor"}
