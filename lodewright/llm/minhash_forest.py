@@ -14,8 +14,9 @@ hubs (in each block the member with most links, the best of them for the region)
 outside its largest component meets all of the region, block by block.  So no pair of a region
 is left out but inside a component, where no link changes it.
 
-Components come from label propagation over the confirmed links, with pointer jumping; labels
-and links stay in tables in the shared folder.
+Components are kept as labels in tables in the shared folder.  New links are first brought to the
+components that they connect, so what has to be united is small; it is united in one task up to a
+checked number of links, and by label propagation with pointer jumping beyond it.
 
 Scale: the orders are range-partitioned by their full keys, and the blocks of a region spread
 over many tasks, so a group with a third of all rows has no task of its own.  Copies of one text are
@@ -53,6 +54,8 @@ TURNS = (2, TREES)
 BLOCK = 512
 BLOCK_BYTES = 2 << 20
 HUBS = 4
+#: Links between components that one task unites.
+LOCAL_LINKS = 1_000_000
 ROWS_PER_RANGE = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: A candidate passes its signatures if they agree in this much less than the similarity asked for.
@@ -437,7 +440,7 @@ def closed(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
                 yield spanning(linked(x, y, percent), x, y)
 
     links.append(scratch.stage(joined.select("hub", "hub_set", *_PARTS).mapInArrow(run, "a long, b long").filter("a < b"), "near-links"))
-    now = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links[0]).unionByName(links[1]), scratch)
+    now = relabelled(labels, links[0].unionByName(links[1]), scratch)
     rest = scratch.stage(_opened(several.select("region", "node", "n_shingles"), now, scratch).filter("component != main"), "near-rest")
     if not rest.head(1):
         return links
@@ -455,9 +458,35 @@ def closed(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int,
     return links
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links in one task: smallest labels, sent and jumped until nothing changes."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    a, b = (np.concatenate([t.column(i).to_numpy() for t in tables]) for i in (0, 1))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (x, y):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for i in range(0, len(nodes), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 10_000]), pa.array(nodes[label[i : i + 10_000]])], names=["node", "component"])
+
+
 def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(node, component): the smallest node that each linked node reaches."""
-    both = scratch.stage(links.select("a", "b").union(links.select("b", "a")).toDF("u", "v"), "near-edges")
+    """(node, component): the smallest node that each linked node reaches.  Up to ``LOCAL_LINKS`` links are united in one task, more by label propagation."""
+    links = scratch.stage(links.select("a", "b"), "near-edges")
+    if links.count() <= LOCAL_LINKS:
+        return scratch.stage(links.coalesce(1).mapInArrow(_united, "node long, component long"), "near-labels")
+    both = links.union(links.select("b", "a")).toDF("u", "v")
     labels = scratch.stage(both.groupBy("u").agg(F.min("v").alias("l")).select(F.col("u").alias("node"), F.least("u", "l").alias("component")), "near-labels")
     while True:
         sent = both.join(labels, both["u"] == labels["node"]).groupBy("v").agg(F.min("component").alias("got"))
@@ -470,6 +499,17 @@ def components(links: DataFrame, scratch: common.Scratch) -> DataFrame:
         labels = labels.drop("old")
 
 
+def relabelled(labels: DataFrame, links: DataFrame, scratch: common.Scratch) -> DataFrame:
+    """Labels (node, component) with more links: only components and new nodes are joined up, links inside a component count for nothing."""
+    of = lambda c: labels.select(F.col("node").alias(f"__{c}"), F.col("component").alias(f"__c{c}"))
+    named = links.join(of("a"), F.col("a") == F.col("__a"), "left").join(of("b"), F.col("b") == F.col("__b"), "left")
+    named = named.select(F.coalesce("__ca", "a").alias("x"), F.coalesce("__cb", "b").alias("y")).filter("x <> y")
+    found = components(named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), scratch)
+    old = labels.join(found.toDF("__n", "__c"), F.col("component") == F.col("__n"), "left").select("node", F.coalesce("__c", "component").alias("component"))
+    new = found.join(labels.select("node"), "node", "left_anti")
+    return scratch.stage(old.unionByName(new), "near-labels")
+
+
 def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all documents, classes (node, rep, class keys, n_shingles, signature), and (node, component) of the linked ones."""
     spark = docs.sparkSession
@@ -482,14 +522,13 @@ def link(docs: DataFrame, width: int = 3, percent: int = 85) -> tuple[DataFrame,
         wanted = alike.select("a").union(alike.select("b")).union(members.select("node")).distinct().toDF("node")
         wanted = scratch.stage(wanted.join(classes.select("node", "rep", "class_a", "class_b", "n_shingles"), "node"), "near-wanted")
         sets = scratch.stage(_sets(docs, wanted.drop("n_shingles"), width), "near-sets")
-        links = [scratch.stage(confirmed(alike, sets, percent), "near-links")]
+        links = confirmed(alike, sets, percent)
         members = members.join(_few(wanted.select("node", "n_shingles")), "node")
-        labels, first = components(links[0], scratch), 0
+        labels, first = components(links, scratch), 0
         for stop in TURNS:
             more = closed(members.filter((F.col("tree") >= first) & (F.col("tree") < stop)), sets, labels, percent, scratch)
             if more:
-                links += more
-                labels = components(_all(links), scratch)
+                labels = relabelled(labels, _all(more), scratch)
             first = stop
         labels = common.stage(labels, "near-components")
     return rows, classes, labels

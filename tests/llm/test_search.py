@@ -147,15 +147,16 @@ def test_all_links_of_real_texts_are_found(spark):
     assert got == want
 
 
-def components_of(spark, links):
-    with common.Scratch(spark) as scratch:
-        return forest.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()
-
-
-def test_components_of_long_chains(spark):
+@pytest.mark.parametrize("local", [1_000_000, 0])
+def test_components_of_long_chains(spark, monkeypatch, local):
+    monkeypatch.setattr(forest, "LOCAL_LINKS", local)
     chain = [(i, i + 1) for i in range(100, 140)] + [(1, 2)]
-    got = {r["node"]: r["component"] for r in components_of(spark, chain)}
-    assert got == {i: 100 for i in range(100, 141)} | {1: 1, 2: 1}
+    with common.Scratch(spark) as scratch:
+        links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+        labels = forest.components(links(chain), scratch)
+        assert {r["node"]: r["component"] for r in labels.collect()} == {i: 100 for i in range(100, 141)} | {1: 1, 2: 1}
+        more = forest.relabelled(labels, links([(2, 120), (7, 9), (139, 140), (9, 50)]), scratch)
+        assert {r["node"]: r["component"] for r in more.collect()} == {i: 1 for i in [1, 2, *range(100, 141)]} | {7: 7, 9: 7, 50: 7}
 
 
 def frame(spark, rows):
