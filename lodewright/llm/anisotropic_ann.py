@@ -9,12 +9,14 @@ exact inner products in double precision.
 The index codes every row.  The codebooks are fitted on at most ``SAMPLE`` rows, those of the
 smallest hash of their id, so the choice is the same in every run and its size is bounded.
 
-Scale: rows are coded where they are read, a block for each Arrow batch.  Queries are packed into
-blocks of about ``QUERIES_PER_BLOCK``; each block of codes meets each block of queries once, in
-an equi-join on the query block, and a task keeps the best of a query block as blocks of rows
-go by.  The reranking joins vectors by id; a vector near to very many queries is a skewed key
-that adaptive execution splits.  The scan of all rows for all queries grows with their product,
-as the fixed query set asks; its unit is one table lookup for two codes.
+Scale: rows are coded where they are read, a block for each Arrow batch.  The blocks are dealt into groups
+of about ``GROUP_ROWS`` rows, and queries are sent to the groups, not codes to the queries: a task holds the
+codes of one group (some tens of MB), and query blocks stream by it.  While the table has fewer groups than the session
+has partitions, the queries are split as well, so that all tasks have work.  What is shuffled is the codes once (a few times in
+a small table) and the queries once for each group.  The reranking joins vectors by id; a vector near
+to very many queries is a skewed key that adaptive execution splits.  The scan of all rows for all queries
+grows with their product, as the fixed query set asks; its unit is one table lookup for two codes.  The number of
+candidates kept for a query grows with the square root of the table, as recall falls when a fixed number is kept.
 
 Defined results: vectors that are null, all zero, or hold a null or non-finite component take
 no part, neither do those of another length than the commonest one (ties: the smaller length);
@@ -25,6 +27,7 @@ returned; an empty table gives no rows.  Ties go to the smaller vec_id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,9 +42,10 @@ CENTERS = 16
 PAIR = 2
 THRESHOLD = 0.2
 ROUNDS = 8
-KEEP = 400
+#: Candidates kept for each query of a table of ``KEEP_ROWS`` rows or fewer.
+KEEP, KEEP_ROWS = 400, 50_000
 QUERIES_PER_BLOCK = 128
-BLOCKS_AT_HAND = 64
+GROUP_ROWS = 1 << 20
 
 
 def usable(vector: Column) -> Column:
@@ -151,7 +155,12 @@ def scan(book: Codebook, packed: np.ndarray, q: np.ndarray, keep: int) -> tuple[
     return places, scores
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = KEEP) -> DataFrame:
+def kept(n: int) -> int:
+    """How many candidates a query keeps in a table of ``n`` rows."""
+    return max(KEEP, math.ceil(KEEP * math.sqrt(n / KEEP_ROWS)))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int | None = None) -> DataFrame:
     """The ``k`` nearest of all other rows for each query row of (vec_id, embedding): query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), is_query.alias("asks"))
@@ -166,7 +175,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = KEEP)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     book = Codebook(dim).fit(_scaled(_matrix(sample.column(0), dim)))
 
+    keep = kept(n) if keep is None else keep
     query_blocks = -(-n_queries // QUERIES_PER_BLOCK)
+    groups = -(-n // GROUP_ROWS)
+    ranges = min(query_blocks, -(-common.partitions(spark) // groups))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,29 +197,32 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = KEEP)
     asks = common.stage(asks.groupBy("qb").applyInArrow(asked, "qb int, queries binary, vectors binary"), "ann-queries")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple] = {}  # for each query block at hand: queries, ids and scores so far
+        at, ids, codes = None, [], []
         for batch in batches:
-            for qb, ids, codes, queries, vectors in zip(batch.column(0).to_pylist(), *(batch.column(i) for i in range(1, 5)), strict=True):
-                ids = np.frombuffer(ids.as_buffer(), "<i8")
-                packed = np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, len(ids))
-                queries = np.frombuffer(queries.as_buffer(), "<i8").copy()
-                q = np.frombuffer(vectors.as_buffer(), "<f8").reshape(-1, dim)
-                places, scores = scan(book, packed, q, keep + 1)
-                found = ids[places]
-                if qb in best:
-                    found, scores = np.concatenate([best[qb][1], found], 1), np.concatenate([best[qb][2], scores], 1)
-                    if found.shape[1] > keep + 1:
-                        top = np.argpartition(scores, found.shape[1] - keep - 1, axis=1)[:, -keep - 1 :]
-                        found, scores = np.take_along_axis(found, top, 1), np.take_along_axis(scores, top, 1)
-                best[qb] = queries, found, scores
-                if len(best) > BLOCKS_AT_HAND:
-                    yield _reported(best.pop(next(iter(best))))
-        for x in best.values():
-            yield _reported(x)
-
-    # Every block of rows meets every block of queries once; the rows of one query block follow each other.
-    pairs = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))).join(asks, "qb")
-    found = pairs.select("qb", "ids", "codes", "queries", "vectors").mapInArrow(scanned, "query_id long, vec_id long, estimate float")
+            for row in range(batch.num_rows):
+                cell, kind = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                if cell != at:
+                    at, ids, codes = cell, [], []
+                named = np.frombuffer(batch.column(2)[row].as_buffer(), "<i8").copy()
+                if kind == 0:
+                    ids.append(named)
+                    codes.append(np.frombuffer(batch.column(3)[row].as_buffer(), np.uint8).reshape(-1, len(named)).copy())
+                elif ids:
+                    if len(ids) > 1:
+                        ids, codes = [np.concatenate(ids)], [np.concatenate(codes, 1)]
+                    q = np.frombuffer(batch.column(3)[row].as_buffer(), "<f8").reshape(-1, dim)
+                    places, scores = scan(book, codes[0], q, keep + 1)
+                    yield _reported(named, ids[0][places], scores)
+
+    # A cell is a group of codes and a range of queries; its codes come first, then its queries stream by.
+    cell = lambda g, r: (g * ranges + r).cast("long").alias("cell")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = blocks.select(F.pmod(F.monotonically_increasing_id(), F.lit(groups)).alias("g"), each(ranges).alias("r"), "ids", "codes")
+    sent = asks.select(each(groups).alias("g"), F.pmod("qb", F.lit(ranges)).alias("r"), "queries", "vectors")
+    cells = held.select(cell(F.col("g"), F.col("r")), F.lit(0).alias("kind"), F.col("ids").alias("a"), F.col("codes").alias("b"))
+    cells = cells.unionByName(sent.select(cell(F.col("g"), F.col("r")), F.lit(1).alias("kind"), F.col("queries").alias("a"), F.col("vectors").alias("b")))
+    cells = cells.repartitionByRange(groups * ranges, "cell").sortWithinPartitions("cell", "kind")
+    found = cells.mapInArrow(scanned, "query_id long, vec_id long, estimate float")
     near = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
     found = found.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= keep).select("query_id", "vec_id")
     found = common.stage(found.distinct(), "ann-candidates")
@@ -224,8 +239,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int = KEEP)
 _ASKED = pa.schema([("qb", pa.int32()), ("queries", pa.binary()), ("vectors", pa.binary())])
 
 
-def _reported(best: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    queries, found, scores = best
+def _reported(queries: np.ndarray, found: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
     asker = np.repeat(queries, found.shape[1])
     found, scores = found.ravel(), scores.ravel()
     own = asker != found

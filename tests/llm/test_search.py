@@ -163,7 +163,9 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank string")
 
 
-def test_recall_and_exact_scores(spark):
+@pytest.mark.parametrize("group_rows", [1 << 20, 700])
+def test_recall_and_exact_scores(spark, monkeypatch, group_rows):
+    monkeypatch.setattr(ann, "GROUP_ROWS", group_rows)
     rng = np.random.default_rng(2)
     x = (rng.normal(size=(30, 24))[rng.integers(0, 30, 3000)] + 0.6 * rng.normal(size=(3000, 24))).astype(np.float32)
     x *= rng.uniform(0.5, 2, (3000, 1)).astype(np.float32)
@@ -183,6 +185,16 @@ def test_recall_and_exact_scores(spark):
     assert hits / (150 * 20) >= 0.95
 
 
+def test_more_candidates_are_kept_of_larger_tables():
+    assert [ann.kept(n) for n in (10, 50_000, 200_000, 5_000_000)] == [400, 400, 800, 4000]
+
+
+def test_ties_across_the_cut_go_to_smaller_ids(spark):
+    df = frame(spark, [(i, [1.0, 0.0] if i else [2.0, 0.0], "r") for i in range(60, -1, -1)])
+    got = [(r["rank"], r["vec_id"]) for r in ann.search(df, df["vec_id"] == 0).orderBy("rank").collect()]
+    assert got == [(i, i) for i in range(1, 21)]
+
+
 def test_odd_vectors_take_no_part(spark):
     rows = [(0, [1.0, 2.0], "a"), (1, [2.0, 1.0], "a"), (2, None, "a"), (3, [0.0, 0.0], "a"), (4, [float("nan"), 1.0], "a"), (5, [float("inf"), 1.0], "a"), (6, [1.0, None], "a"), (7, [1.0], "a"), (None, [1.0, 1.0], "a"), (8, [2.0, 1.0], "b"), (20, None, "c"), (8, [2.0, 1.0], "b")]
     df = frame(spark, rows)
