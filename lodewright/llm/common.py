@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import Scratch, shared_dir, stage  # noqa: F401  (operators take them from here)
+
 #: Code points that separate words.  A word is a maximal run of anything else.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,59 +26,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (``spark.checkpoint.dir``).
-
-    A local session without that setting (a test) gets a folder of its own; on a cluster it must be set.
-    """
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if not here:
-        here = spark.sparkContext.getCheckpointDir()
-        if not here:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodewright-"))
-            here = spark.sparkContext.getCheckpointDir()
-    return str(here).rstrip("/")
-
-
-def _write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage in a way that survives the loss of executors, and fixes what
-    a range partitioning or a row number decided.
-    """
-    return _write(df, name)[0]
-
-
-class Scratch:
-    """Staged tables that nothing reads once the block that opened this is left; they are deleted then."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def stage(self, df: DataFrame, name: str) -> DataFrame:
-        table, path = _write(df, name)
-        self.paths.append(path)
-        return table
-
-    def __enter__(self) -> Scratch:
-        return self
-
-    def __exit__(self, *_: object) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for path in self.paths:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -95,19 +40,15 @@ def range_of(index: str = "__at") -> Column:
     return F.shiftright(F.col(index), _ROW_BITS)
 
 
-def before_range(df: DataFrame, value: Column, index: str = "__at") -> Column:
-    """The sum of ``value`` over all ranges before a row's own, for a ``range_sorted`` table.
+def with_before(df: DataFrame, name: str, value: Column, index: str = "__at") -> DataFrame:
+    """Adds ``name``, the sum of ``value`` over all ranges before a row's own, for a ``range_sorted`` table.
 
-    One number for each range reaches the driver (as many as shuffle partitions).
+    The sums are a table of one row for each range (as many as shuffle partitions), so its broadcast is bounded.
     """
-    sums = df.groupBy(range_of(index).alias("r")).agg(F.sum(value).alias("v")).collect()
-    total, pairs = 0, []
-    for row in sorted(sums, key=lambda row: row["r"]):
-        pairs += [F.lit(row["r"]), F.lit(total)]
-        total += row["v"] or 0
-    if not pairs:
-        return F.lit(0).cast("long")
-    return F.element_at(F.create_map(*pairs), range_of(index)).cast("long")
+    sums = df.groupBy(range_of(index).alias("__r")).agg(F.sum(value).alias("__v"))
+    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("__r", F.coalesce(F.sum("__v").over(earlier), F.lit(0)).cast("long").alias(name))
+    return df.join(F.broadcast(sums), range_of(index) == F.col("__r")).drop("__r")
 
 
 def place_in_range(index: str = "__at") -> Column:

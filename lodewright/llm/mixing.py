@@ -33,7 +33,7 @@ def _numbered(sources: DataFrame) -> DataFrame:
     """Sources with their place in code point order, null last."""
     order = (F.col("source").isNull(), F.col("source"))
     placed = common.range_sorted(sources, *order, name="mix-sources")
-    return placed.withColumn("place", common.before_range(placed, F.lit(1)) + common.place_in_range())
+    return common.with_before(placed, "__before", F.lit(1)).withColumn("place", F.col("__before") + common.place_in_range()).drop("__before")
 
 
 def targets(sources: DataFrame, budget: int) -> DataFrame:
@@ -115,8 +115,8 @@ def schedule(docs: DataFrame) -> DataFrame:
     order = [F.col(c) for c in ("virtual_finish", "source", "bucket", "place", "copy")]
     queue = common.range_sorted(rows.select(*keep), *order, name="mix-queue")
     running = Window.partitionBy(common.range_of()).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = common.before_range(queue, F.col("taken")) + F.sum("taken").over(running) - F.col("taken")
-    queue = queue.withColumn("words_before", ahead)
+    ahead = F.col("__before") + F.sum("taken").over(running) - F.col("taken")
+    queue = common.with_before(queue, "__before", F.col("taken")).withColumn("words_before", ahead).drop("__before")
     left = F.greatest(F.lit(0), F.lit(budget) - F.col("words_before"))
     return queue.withColumn("taken", F.least(F.col("taken"), left).cast("long")).drop("__at")
 
@@ -129,8 +129,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
             Window.partitionBy("doc_id", "text_hash").orderBy("source", "bucket", "place")).alias("__k"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id").alias("__d2"), F.xxhash64("text").alias("__h2"))
     whole = whole.withColumn("__k2", F.row_number().over(Window.partitionBy("__d2", "__h2").orderBy("__row.source")))
-    # Equal rows meet by their number; it is compared in two halves to keep it out of the join's key.
-    same = F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__h") == F.col("__h2")) & (F.col("__k") <= F.col("__k2")) & (F.col("__k") >= F.col("__k2"))
+    # Equal rows meet by their number.
+    same = F.col("__d").eqNullSafe(F.col("__d2")) & (F.col("__h") == F.col("__h2")) & (F.col("__k") == F.col("__k2"))
     out = whole.join(plan, same)
     parts = F.regexp_extract_all(F.col("__row.text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col("taken") < F.col("size"), F.array_join(F.slice(parts, F.lit(1), F.col("taken").cast("int")), "")).otherwise(F.col("__row.text"))

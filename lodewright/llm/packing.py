@@ -125,19 +125,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << _SEQUENCE_BITS
         group, number = _Group(), 0
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, run_of in pretokens.sliced(texts):
-                ids, counts = encoder.encode(run_of, end=end_id)
-                at = 0
-                for i, n in enumerate(counts.tolist()):
-                    group.add(doc_ids[first + i], ids[at : at + n])
-                    at += n
-                    if group.tokens >= GROUP_TOKENS:
-                        out = group.packed(base + number)
-                        number += max(1, len(capacities(group.tokens)))
-                        group = _Group()
-                        yield out
+        for names, run_of in pretokens.slices(batches):
+            ids, counts = encoder.encode(run_of, end=end_id)
+            at = 0
+            for doc_id, n in zip(names.to_pylist(), counts.tolist(), strict=True):
+                group.add(doc_id, ids[at : at + n])
+                at += n
+                if group.tokens >= GROUP_TOKENS:
+                    out = group.packed(base + number)
+                    number += max(1, len(capacities(group.tokens)))
+                    group = _Group()
+                    yield out
         if group.doc:
             yield group.packed(base + number)
 

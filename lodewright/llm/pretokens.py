@@ -292,19 +292,6 @@ class Encoder:
         return out, counts
 
 
-def sliced(texts: list[str | None], limit: int = SLICE_BYTES):
-    """(first, texts) runs of about ``limit`` bytes; nulls are empty."""
-    run, size, first = [], 0, 0
-    for i, t in enumerate(texts):
-        run.append(t or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield first, run
-            run, size, first = [], 0, i + 1
-    if run:
-        yield first, run
-
-
 def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[tuple[pa.Array, list[str]]]:
     """(ids, texts) runs of about ``limit`` bytes of batches of (id, text); nulls are empty.  Only a run at a time becomes Python strings."""
     for batch in batches:

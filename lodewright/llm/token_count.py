@@ -257,14 +257,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(tokenizer).count
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            n = [count(part) for _, part in pretokens.sliced(texts)]
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            size = [len(t.encode("utf-8")) if t else 0 for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+        for names, texts in pretokens.slices(batches):
+            n = count(texts)
+            size = [len(t.encode("utf-8")) for t in texts]
+            yield pa.RecordBatch.from_arrays([names, pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

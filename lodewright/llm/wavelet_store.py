@@ -166,27 +166,26 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHA
                 [pa.array([docs_in], pa.list_(pa.int64())), pa.array([held], pa.int64()), pa.array([data], pa.binary())], names=["doc_ids", "n_ids", "file"]
             )
 
-        for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, part in pretokens.sliced(texts):
-                got, n = encoder.encode(part, end=end_id)
-                # A slice may end a shard in its midst: cut where the running sum passes the limit.
-                at = begin = 0
-                for stop in np.cumsum(n).tolist():
-                    if held + stop - begin >= shard_ids:
-                        ids.append(got[begin:stop])
-                        last = int(np.searchsorted(np.cumsum(n), stop, "left")) + 1
-                        counts += n[at:last].tolist()
-                        docs_in += doc_ids[first + at : first + last]
-                        held += stop - begin
-                        yield shard()
-                        ids, counts, docs_in, held = [], [], [], 0
-                        at, begin = last, stop
-                if at < len(n):
-                    ids.append(got[begin:])
-                    counts += n[at:].tolist()
-                    docs_in += doc_ids[first + at : first + len(n)]
-                    held += len(got) - begin
+        for names, part in pretokens.slices(batches):
+            doc_ids = names.to_pylist()
+            got, n = encoder.encode(part, end=end_id)
+            # A slice may end a shard in its midst: cut where the running sum passes the limit.
+            at = begin = 0
+            for stop in np.cumsum(n).tolist():
+                if held + stop - begin >= shard_ids:
+                    ids.append(got[begin:stop])
+                    last = int(np.searchsorted(np.cumsum(n), stop, "left")) + 1
+                    counts += n[at:last].tolist()
+                    docs_in += doc_ids[at:last]
+                    held += stop - begin
+                    yield shard()
+                    ids, counts, docs_in, held = [], [], [], 0
+                    at, begin = last, stop
+            if at < len(n):
+                ids.append(got[begin:])
+                counts += n[at:].tolist()
+                docs_in += doc_ids[at:]
+                held += len(got) - begin
         if counts:
             yield shard()
 
@@ -200,10 +199,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHA
 
 def read(shards: DataFrame) -> DataFrame:
     """Documents read back from the shards' files: doc_id, start, n_tokens, ids_crc32."""
-    ahead = common.before_range(shards, F.col("n_ids"))
     earlier = Window.partitionBy(common.range_of()).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-    first = ahead + F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))
-    starts = shards.select("__at", "n_ids").withColumn("first", first).select("__at", "first")
+    first = F.col("before") + F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))
+    starts = common.with_before(shards.select("__at", "n_ids"), "before", F.col("n_ids")).select("__at", first.alias("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
