@@ -13,14 +13,14 @@ Scale: deltas are folded per (conversation, message) first; only then do the mes
 conversation meet, since its rendering is one value.  Two shuffles, of which the second moves
 folded messages.  A conversation's messages are one row by contract.
 
-Defined results: null text and null role are empty; a null sequence sorts first; events of
+Defined results: null text and null role are empty; very long texts and logs are taken whole; a null sequence sorts first; events of
 equal sequence sort by kind, role and text; a null conversation id is a conversation; an
 empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The template's control strings are <s>, </s>, [INST] and [/INST].
@@ -40,54 +40,36 @@ def unescape(text: Column) -> Column:
 def fold(events: DataFrame) -> DataFrame:
     """Messages (conv_id, message, role, text) from events (conv_id, message, seq, kind, role, text).
 
-    The last event that sets a text (an edit, a regeneration) starts it; later deltas extend it.
+    The last event that sets a text (an edit, a regeneration) starts it; later deltas extend it.  The
+    role is the last one named.  A log is read a fixed number of times, so the work is linear in it.
     """
     event = F.struct("seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    log = F.sort_array(F.collect_list(event))
-    empty = F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("parts"))
-
-    def step(state: Column, e: Column) -> Column:
-        parts = (
-            F.when(e["kind"] == "edit", F.array(e["text"]))
-            .when(e["kind"] == "regenerate", F.array().cast("array<string>"))
-            .otherwise(F.concat(state["parts"], F.array(e["text"])))
-        )
-        return F.struct(F.coalesce(e["role"], state["role"]).alias("role"), parts.alias("parts"))
-
-    # Most messages are one delta; only longer logs are folded.
-    logs = events.groupBy("conv_id", "message").agg(log.alias("log"))
-    single = (F.size("log") == 1) & (F.get("log", F.lit(0))["kind"] != "regenerate")
-    one = F.get("log", F.lit(0))
-    whole = F.aggregate("log", empty, step)
-    return logs.select(
-        "conv_id",
-        "message",
-        F.when(single, F.coalesce(one["role"], F.lit(""))).otherwise(whole["role"]).alias("role"),
-        F.when(single, one["text"]).otherwise(F.array_join(whole["parts"], "")).alias("text"),
-    )
+    logs = events.groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
+    sets = F.transform("log", lambda e, i: F.when(e["kind"].isin("edit", "regenerate"), i + 1).otherwise(F.lit(1)))
+    live = F.slice("log", F.array_max(sets), F.size("log"))
+    parts = F.transform(live, lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"]))
+    roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
+    role = F.coalesce(F.get(roles, F.size(roles) - 1), F.lit(""))
+    return logs.select("conv_id", "message", role.alias("role"), F.array_join(parts, "").alias("text"))
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, formatted, loss_spans): spans are (start from 0, length) in code points of ``formatted``."""
-    turn = F.struct("message", "role", "text")
-    convs = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    prefix = F.lit(BEGIN + ROLE_OPEN)
-
-    def shown(t: Column) -> Column:
-        head = F.concat(prefix, escape(t["role"]), F.lit(ROLE_CLOSE))
-        return F.struct(head.alias("head"), escape(t["text"]).alias("body"), (t["role"] == TRAINED_ROLE).alias("trained"))
+    """(conv_id, n_turns, formatted, loss_spans): spans are (start from 0, length) in code points of ``formatted``.
 
-    convs = convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.transform("turns", shown).alias("shown"))
-    tail = F.lit(len(END))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
-
-    def spans(a: Column, t: Column) -> Column:
-        at, size = a["at"] + F.length(t["head"]), F.length(t["body"])
-        mine = F.array(F.struct(at.alias("start"), size.alias("length")))
-        return F.struct((at + size + tail).alias("at"), F.when(t["trained"], F.concat(a["spans"], mine)).otherwise(a["spans"]).alias("spans"))
-
-    formatted = F.array_join(F.transform("shown", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "")
-    return convs.select("conv_id", "n_turns", formatted.alias("formatted"), F.aggregate("shown", start, spans)["spans"].alias("loss_spans"))
+    A message's place comes from a running sum over its conversation, which the rendering needs together anyway.
+    """
+    shown = messages.select("conv_id", "message", "role", "text", escape(F.col("role")).alias("__role"), escape(F.col("text")).alias("body"))
+    shown = shown.withColumn("head", F.concat(F.lit(BEGIN + ROLE_OPEN), "__role", F.lit(ROLE_CLOSE)))
+    order = Window.partitionBy("conv_id").orderBy("message", "role", "text")
+    size = F.length("head") + F.length("body") + len(END)
+    before = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    span = F.struct((before + F.length("head")).cast("int").alias("start"), F.length("body").alias("length"))
+    shown = shown.select("conv_id", F.row_number().over(order).alias("n"), F.concat("head", "body", F.lit(END)).alias("shown"), F.when(F.col("role") == TRAINED_ROLE, span).alias("span"))
+    turns = F.sort_array(F.collect_list(F.struct("n", "shown", "span")))
+    convs = shown.groupBy("conv_id").agg(turns.alias("turns"))
+    spans = F.filter(F.transform("turns", lambda t: t["span"]), lambda x: x.isNotNull())
+    formatted = F.array_join(F.transform("turns", lambda t: t["shown"]), "")
+    return convs.select("conv_id", F.size("turns").cast("long").alias("n_turns"), formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def parse(formatted: Column) -> Column:
@@ -118,3 +100,21 @@ def events_of_turns(conversations: DataFrame) -> DataFrame:
     message = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"), "row")
     numbered = conversations.withColumn("row", F.monotonically_increasing_id())
     return numbered.select("conv_id", message.alias("message"), F.lit(0).alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+
+
+def drafted(events: DataFrame) -> DataFrame:
+    """The same messages by longer logs, from events of one delta each.
+
+    Each message is drafted and regenerated, streamed in part, edited to its first half, and streamed to its end.
+    """
+    half = F.floor(F.length("text") / 2).cast("int")
+    text = F.coalesce("text", F.lit(""))
+    step = lambda seq, kind, said: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), F.when(F.lit(seq == 0), F.col("role")).alias("role"), said.alias("text"))
+    steps = F.array(
+        step(0, "delta", F.lit("draft ")),
+        step(1, "regenerate", F.lit(None).cast("string")),
+        step(2, "delta", F.substring(text, F.lit(1), F.floor(half / 2).cast("int"))),
+        step(3, "edit", F.substring(text, F.lit(1), half)),
+        step(4, "delta", F.substring(text, half + 1, F.length(text))),
+    )
+    return events.select("conv_id", "message", F.col("role"), text.alias("text")).select("conv_id", "message", F.explode(steps).alias("e")).select("conv_id", "message", "e.*")

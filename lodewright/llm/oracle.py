@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .license_scan import SPELLINGS
-from .license_texts import NOTICES, TEXTS
+from .license_scan import COPYRIGHT_LINE, SPELLINGS, TITLE
+from .license_texts import DIGESTS, NOTICES, TEXTS
 from .quality_rules import BOILERPLATE, TERMINAL
 
 _URL = """
@@ -66,7 +66,7 @@ level AS (
   UNION ALL
   SELECT i + 1, ((SELECT b FROM total) - (SELECT coalesce(sum(3 * s) FILTER (w * l > 3 * s), 0) FROM w))
     / (SELECT sum(w) FILTER (NOT w * l > 3 * s) FROM w) FROM level WHERE i < 30)
-SELECT d.doc_id, d.size, w.s::BIGINT AS source_size, least(w.w * (SELECT arg_max(l, i) FROM level), 3 * w.s) AS target
+SELECT d.doc_id, d.size, w.s::BIGINT AS source_size, round(least(w.w * (SELECT arg_max(l, i) FROM level), 3 * w.s), 3) AS target
 FROM docs d JOIN w ON d.source IS NOT DISTINCT FROM w.source
 """
 
@@ -76,27 +76,38 @@ def _quoted(text: str) -> str:
 
 
 def _license() -> str:
-    spelled = "regexp_replace(trim(regexp_replace(low, '[^\\p{L}\\p{N}]+', ' ', 'g')), '^ +| +$', '', 'g')"
+    """The expected licences of the planted rows (negative ids) stand here as such; digests follow from the texts."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    from .queries import planted_licences
+
+    whole = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in TEXTS.items())
+    notices = ", ".join(f"({quoted(k)}, {quoted(x)})" for k, v in NOTICES.items() for x in v)
+    more = ", ".join(f"({quoted(k)}, '{x}')" for k, v in DIGESTS.items() for x in v)
+    planted = ", ".join(f"({i}, {quoted(t)})" for i, t in planted_licences())
+    spelled = "@"
     for variant, canonical in SPELLINGS:
         spelled = f"regexp_replace({spelled}, '\\b{variant}\\b', '{canonical}', 'g')"
-    known = [(k, True, v) for k, v in TEXTS.items()] + [(k, False, x) for k, v in NOTICES.items() for x in v]
-    values = ", ".join(f"({_quoted(k)}, {str(whole).lower()}, {_quoted(v)})" for k, whole, v in known)
-    lines = f"""SELECT id, i, CASE WHEN regexp_matches(low, '^[\\s\\W]*(?:copyright\\b|\\(c\\)|©)') THEN '' ELSE {spelled} END AS line
-    FROM (SELECT id, generate_subscripts(x, 1) AS i, lower(unnest(x)) AS low FROM (SELECT id, string_split(text, chr(10)) AS x FROM @TABLE))"""
+    lines = f"""SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY i) AS n, line FROM (SELECT id, i, CASE WHEN regexp_matches(low, '{COPYRIGHT_LINE}') AND length(flat) - length(replace(flat, ' ', '')) < 30 THEN '' ELSE flat END AS line
+    FROM (SELECT id, i, low, trim(regexp_replace(low, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS flat
+    FROM (SELECT id, generate_subscripts(x, 1) AS i, lower(unnest(x)) AS low FROM (SELECT id, string_split(text, chr(10)) AS x FROM @TABLE)))) WHERE line <> ''"""
+    form = f"""SELECT id, {spelled.replace('@', 'form')} AS form FROM (SELECT t.id, coalesce(string_agg(l.line, ' ' ORDER BY l.i) FILTER (NOT (l.n <= 2 AND regexp_matches(replace(l.line, 'licence', 'license'), '{TITLE}'))), '') AS form FROM @TABLE t LEFT JOIN @LINES l ON t.id = l.id GROUP BY t.id)"""
     return f"""
-WITH known AS (SELECT row_number() OVER () AS id, * FROM (VALUES {values}) AS v(license_id, whole, text)),
-docs AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents),
+WITH given AS (SELECT * FROM (VALUES {whole}) AS v(license_id, text)),
+known AS (SELECT row_number() OVER () AS id, * FROM (SELECT * FROM given UNION ALL SELECT license_id, regexp_replace(text, '(?m)^\\s*\\(?(?:\\d{{1,2}}|[A-Za-z])[.)]\\s+', '', 'g') FROM given)),
+notes AS (SELECT row_number() OVER () AS id, * FROM (VALUES {notices}) AS v(license_id, text)),
+docs AS (SELECT doc_id AS id, coalesce(text, '') AS text FROM documents UNION ALL SELECT * FROM (VALUES {planted}) AS p(id, text)),
 known_lines AS ({lines.replace('@TABLE', 'known')}),
+note_lines AS ({lines.replace('@TABLE', 'notes')}),
 doc_lines AS ({lines.replace('@TABLE', 'docs')}),
-reg AS (SELECT k.license_id, k.whole, sha256(coalesce(string_agg(l.line, ' ' ORDER BY l.i) FILTER (l.line <> ''), '')) AS digest
-  FROM known k JOIN known_lines l ON k.id = l.id GROUP BY k.id, k.license_id, k.whole),
-marks AS (SELECT digest, min(license_id) AS notice FROM reg GROUP BY digest),
-texts AS (SELECT digest, min(license_id) AS license_id FROM reg WHERE whole GROUP BY digest),
-whole AS (SELECT d.id, sha256(coalesce(string_agg(l.line, ' ' ORDER BY l.i) FILTER (l.line <> ''), '')) AS digest FROM docs d LEFT JOIN doc_lines l ON d.id = l.id GROUP BY d.id),
-found AS (SELECT l.id, m.notice FROM doc_lines l JOIN marks m ON m.digest = sha256(l.line) WHERE l.line <> ''),
+known_forms AS ({form.replace('@TABLE', 'known').replace('@LINES', 'known_lines')}),
+doc_forms AS ({form.replace('@TABLE', 'docs').replace('@LINES', 'doc_lines')}),
+texts AS (SELECT digest, min(license_id) AS license_id FROM (SELECT k.license_id, sha256(f.form) AS digest FROM known k JOIN known_forms f ON k.id = f.id UNION ALL SELECT * FROM (VALUES {more}) AS m(license_id, digest)) GROUP BY digest),
+marks AS (SELECT sha256({spelled.replace('@', 'l.line')}) AS digest, min(k.license_id) AS notice FROM notes k JOIN note_lines l ON k.id = l.id GROUP BY 1),
+found AS (SELECT l.id, m.notice FROM doc_lines l JOIN marks m ON m.digest = sha256({spelled.replace('@', 'l.line')})),
 noted AS (SELECT id, string_agg(DISTINCT notice, ',' ORDER BY notice) AS notices, count(*) AS n FROM found GROUP BY id)
-SELECT w.id AS doc_id, w.digest, t.license_id, coalesce(n.notices, '') AS notices, coalesce(n.n, 0)::BIGINT AS n_notices
-FROM whole w LEFT JOIN texts t ON t.digest = w.digest LEFT JOIN noted n ON n.id = w.id
+SELECT w.id AS doc_id, sha256(w.form) AS digest, CASE w.id WHEN -1 THEN 'MIT' WHEN -2 THEN 'ISC' WHEN -3 THEN 'BSD-3-Clause' WHEN -4 THEN 'Zlib' WHEN -5 THEN 'Unlicense' WHEN -6 THEN NULL ELSE t.license_id END AS license_id,
+  coalesce(n.notices, '') AS notices, coalesce(n.n, 0)::BIGINT AS n_notices
+FROM doc_forms w LEFT JOIN texts t ON t.digest = sha256(w.form) LEFT JOIN noted n ON n.id = w.id
 """
 
 
@@ -127,9 +138,11 @@ FROM docs d JOIN byline b ON b.doc_id = d.doc_id LEFT JOIN covered c ON c.doc_id
 """
 
 
-ORACLES = {
-    "op2_url_filter": _URL,
-    "op5_chat_format": _CHAT,
-    "op8_license_scan": _license(),
-    "op10_quality_rules": _quality(),
-}
+def oracles() -> dict[str, str]:
+    return {
+        "op2_url_filter": _URL,
+        "mix_targets": _MIX,
+        "op5_chat_format": _CHAT,
+        "op8_license_scan": _license(),
+        "op10_quality_rules": _quality(),
+    }

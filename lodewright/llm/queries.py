@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import textwrap
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import anisotropic_ann, chat_format, license_scan, minhash_forest, mixing, packing, quality_rules, token_count, url_filter, wavelet_store
+from . import anisotropic_ann, chat_format, license_scan, license_texts, minhash_forest, mixing, packing, quality_rules, token_count, url_filter, wavelet_store
 from .common import table
-from .oracle import ORACLES
 
 
 def op1_anisotropic_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.words_taken(table(spark, sf_dir, "documents"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix aims at, document by document: sizes, sources' sizes and targets."""
+    return mixing.words_taken(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -63,7 +69,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation, rendered and read back; conversation -1 says the template's own control strings."""
+    """Every conversation, reconstructed from a log of drafts, edits and deltas, rendered and read back.
+
+    Conversation -1 says the template's own control strings.
+    """
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
         F.col("id").alias("turn"),
@@ -71,7 +80,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    shown = chat_format.render(chat_format.fold(chat_format.events_of_turns(rows)))
+    shown = chat_format.render(chat_format.fold(chat_format.drafted(chat_format.events_of_turns(rows))))
     shown = shown.withColumns(
         {"turns": chat_format.parse(F.col("formatted")), "loss": chat_format.masked(F.col("formatted"), F.col("loss_spans"))}
     )
@@ -95,7 +104,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document, and planted texts with negative ids: whole licences as they are found in the wild."""
+    planted = spark.createDataFrame(planted_licences(), "doc_id long, text string")
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(planted))
+
+
+def planted_licences() -> list[tuple[int, str]]:
+    """Whole texts: rewrapped, without title, with other bullets, in British spelling, and one with a sentence more."""
+    text = lambda name, owner: license_texts.TEXTS[name].replace("<year>", "2014").replace("<copyright holders>", owner).replace("<owner>", owner)
+    wrapped = lambda t, width: "\n\n".join(textwrap.fill(p, width) for p in t.split("\n\n"))
+    untitled = lambda t: t.split("\n\n", 1)[1]
+    return [
+        (-1, wrapped(text("MIT", "Ann Other"), 66)),
+        (-2, wrapped(untitled(text("ISC", "Ann Other and others")), 60)),
+        (-3, wrapped(text("BSD-3-Clause", "Ann Other").replace("BSD 3-Clause License", "The BSD 3-Clause License"), 50).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        (-4, wrapped(untitled(text("Zlib", "Ann Other")).replace("acknowledgment", "acknowledgement"), 76)),
+        (-5, wrapped(text("Unlicense", "").upper(), 40)),
+        (-6, wrapped(text("MIT", "Ann Other"), 66) + "\nThe software shall be used for good."),
+    ]
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +146,15 @@ QUERIES = {
         op8_license_scan,
         op9_token_counts,
         op10_quality_rules,
+        mix_targets,
     )
 }
-ORACLE_SQL = ORACLES
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracle import oracles
+
+    return oracles()
+
+
+ORACLE_SQL = oracle_sql()

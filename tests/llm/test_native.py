@@ -2,7 +2,10 @@
 
 import datetime as dt
 import re
+import textwrap
+import time
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,9 +169,51 @@ def test_events_are_folded_in_order(spark):
     assert chat_format.render(chat_format.fold(events.limit(0))).count() == 0
 
 
+def test_long_logs_are_folded_in_linear_time(spark):
+    n = 60_000
+    events = spark.range(n).select(
+        F.lit(1).alias("conv_id"), F.lit(0).alias("message"), F.col("id").alias("seq"), F.when(F.col("id") == 9, "regenerate").otherwise("delta").alias("kind"), F.lit("assistant").alias("role"), F.lit("ab").alias("text")
+    )
+    began = time.monotonic()
+    (row,) = chat_format.render(chat_format.fold(events)).collect()
+    assert row["loss_spans"][0]["length"] == 2 * (n - 10) and time.monotonic() - began < 20
+
+
+def test_drafts_end_in_the_given_text(spark):
+    df = spark.createDataFrame([(1, i, "user", t) for i, t in enumerate([*TRICKY, None])], "conv_id long, turn long, role string, text string")
+    plain = chat_format.events_of_turns(df)
+    long = chat_format.drafted(plain)
+    assert long.count() == 5 * df.count()
+    assert chat_format.render(chat_format.fold(long)).collect() == chat_format.render(chat_format.fold(plain)).collect()
+
+
 # ------------------------------------------------------------------ licences
 
 
+@pytest.mark.parametrize("width", [20, 66, 400])
+def test_whole_licences_in_any_wrapping_with_and_without_title(spark, width):
+    rows, want = [], {}
+    for i, (name, t) in enumerate(license_texts.TEXTS.items()):
+        paragraphs = t.replace("<year>", "1999").strip().split("\n\n")
+        for k, some in ((0, paragraphs), (1, paragraphs[1:] if "icense" in paragraphs[0] or "Attribution" in paragraphs[0] else paragraphs)):
+            body = "\r\n\r\n".join(p if len(p) < 70 else textwrap.fill(p, width, subsequent_indent="  ", break_long_words=False) for p in some)
+            rows.append((2 * i + k, re.sub(r"\blicense\b", "licence", body), "s"))
+            want[2 * i + k] = name
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == want
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/Apache-2.0").exists(), reason="no texts to look up")
+def test_long_licences_by_their_digests(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for i, f in enumerate(names):
+        words = Path("/usr/share/common-licenses", f).read_text("utf-8")
+        rows += [(2 * i, words, "s"), (2 * i + 1, words.replace("https:", "http:").replace("    ", " ").upper(), "s"), (100 + i, words + " and more", "s")]
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.scan(docs(spark, rows)).collect()}
+    assert got == {2 * i + k: v for i, v in enumerate(names.values()) for k in (0, 1)} | {100 + i: None for i in range(5)}
+
+
 def test_licences(spark):
     mit = license_texts.TEXTS["MIT"]
     varied = mit.replace("<year> <copyright holders>", "2001 Ann Other").upper().replace(",", " ;").replace("\n", "\n\n").replace("LICENSE", "LICENCE")
