@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def positive(name: str, value: float) -> None:
@@ -25,9 +24,3 @@ def unique(df: DataFrame, *keys: str) -> None:
     twice = df.groupBy(*keys).count().filter("count > 1").head(1)
     if twice:
         raise ValueError(f"{', '.join(keys)} must be unique; {twice[0].asDict()} is not")
-
-
-def same_dimension(index: DataFrame, queries: DataFrame, vector: str) -> None:
-    dims = {r[0] for df in (index, queries) for r in df.select(F.size(vector)).distinct().limit(2).collect()}
-    if len(dims) > 1:
-        raise ValueError(f"vectors of different dimensions: {sorted(dims)}")

@@ -10,31 +10,53 @@ from pyspark.sql import functions as F
 from ..conf import Chunking, Ingest
 from ..functions import boxes
 from ..functions.text import clean_ocr
-from ..schema import TEXTUAL, VISUAL
+from ..schema import CATEGORIES, TEXTUAL, VISUAL
 
 
 class CorpusError(ValueError):
     """A corpus breaks at least one rule."""
 
 
-def annotations(pages: DataFrame, payload: str = "payload") -> DataFrame:
-    """A row for each annotation object of a page's JSON payload: all columns but the payload, ``idx`` and ``annotation``.
+_USUAL = "annotations array<struct<bbox array<double>, category_id bigint, format string>>"
 
-    The list is the payload itself or under annotations, regions, objects or boxes.
-    """
-    parsed = F.try_parse_json(F.col(payload))
+
+def _objects(payload: Column) -> Column:
+    """The annotation objects of a JSON payload as variants; the list is the payload itself or under one of its names."""
+    parsed = F.try_parse_json(payload)
     lists = [F.try_variant_get(parsed, f"$.{n}", "array<variant>") for n in ("annotations", "regions", "objects", "boxes")]
     whole = F.coalesce(*lists, F.try_variant_get(parsed, "$", "array<variant>"))
-    objects = F.filter(whole, lambda a: F.schema_of_variant(a).startswith("OBJECT"))
-    return pages.select(*[c for c in pages.columns if c != payload], F.posexplode(objects).alias("idx", "annotation"))
+    return F.filter(whole, lambda a: F.schema_of_variant(a).startswith("OBJECT"))
+
+
+def annotations(pages: DataFrame, payload: str = "payload") -> DataFrame:
+    """A row for each annotation object of a page's JSON payload: all columns but the payload, ``idx`` and ``annotation``."""
+    return pages.select(*[c for c in pages.columns if c != payload], F.posexplode(_objects(F.col(payload))).alias("idx", "annotation"))
+
+
+def _read(pages: DataFrame, payload: str) -> DataFrame:
+    """(..., idx, region_type, raw) of all annotation objects.
+
+    A payload whose annotations all have the usual shape is read by that schema; only others are read as variants.
+    """
+    pages = pages.withColumn("__usual", F.from_json(payload, _USUAL)["annotations"])
+    fits = lambda a: a.isNotNull() & a["category_id"].isNotNull() & a["format"].isNull() & (F.size("__usual") > 0) & (F.size(a["bbox"]) >= 4) & F.forall(a["bbox"], lambda x: x.isNotNull())
+    usual = F.coalesce(F.forall("__usual", lambda a: F.coalesce(fits(a), F.lit(False))), F.lit(False))
+    row = lambda kind, raw: F.struct(kind.alias("region_type"), raw.alias("raw"))
+    by_schema = F.transform(
+        "__usual",
+        lambda a: row(
+            F.when(a["category_id"].between(min(CATEGORIES), max(CATEGORIES)), boxes.category_name(a["category_id"])),
+            boxes.box(*[F.get(a["bbox"], F.lit(i)) for i in range(4)]),
+        ),
+    )
+    by_variant = F.transform(_objects(F.col(payload)), lambda a: row(boxes.category(a), boxes.annotation_box(a)))
+    listed = F.posexplode(F.when(usual, by_schema).otherwise(by_variant)).alias("idx", "a")
+    return pages.select(*[c for c in pages.columns if c not in (payload, "__usual")], listed).select("*", "a.*").drop("a")
 
 
 def parse(pages: DataFrame, settings: Ingest = Ingest(), payload: str = "payload") -> DataFrame:  # noqa: B008
     """Regions of pages (key, width, height, payload): unknown types, missing and degenerate boxes go."""
-    found = annotations(pages, payload).select(
-        "key", "idx", boxes.category(F.col("annotation")).alias("region_type"), boxes.annotation_box(F.col("annotation")).alias("raw"), "width", "height"
-    )
-    found = found.filter("region_type is not null and raw is not null")
+    found = _read(pages.select("key", "width", "height", payload), payload).filter("region_type is not null and raw is not null")
     found = found.withColumn("bbox", boxes.bound(F.col("raw"), lambda r: boxes.clipped(r, F.col("width"), F.col("height"))))
     found = found.filter(~boxes.degenerate(F.col("bbox"), settings.min_region_side_px))
     parts = boxes.key_parts(F.col("key"))
@@ -44,7 +66,7 @@ def parse(pages: DataFrame, settings: Ingest = Ingest(), payload: str = "payload
 
 
 def parse_statistics(pages: DataFrame, regions: DataFrame, payload: str = "payload") -> DataFrame:
-    total = annotations(pages, payload).agg(F.count(F.lit(1)).alias("total"))
+    total = _read(pages.select(payload), payload).agg(F.count(F.lit(1)).alias("total"))
     kept = regions.agg(F.count(F.lit(1)).alias("kept"))
     return total.crossJoin(kept).select("total", "kept", (F.col("total") - F.col("kept")).alias("dropped"))
 

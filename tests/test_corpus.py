@@ -183,3 +183,13 @@ def test_settings():
         with pytest.raises(SettingsError):
             Settings.from_mapping(bad)
     assert Chunking().strategy == "region"
+
+
+def test_a_settings_file_of_all_sections(tmp_path):
+    (tmp_path / "s.yaml").write_text(
+        "seed: 42\npaths: {data_dir: d, cache_dir: c}\ningest: {dataset_url_template: 'x-{i:06d}.tar', tesseract_cmd: ''}\nmodels: {text_embed_model: m, embed_batch_size: 8, device: auto, enable_captions: false}\n"
+        "llm: {backend: ollama, local_model: q, cache_enabled: true, base_url: '', api_key_env: ''}\nretrieval: {use_bm25_floor: true}\n"
+        "kg: {entity_types: [method, metric], max_regions_for_extraction: 9}\neval: {n_questions_per_type: 3, judge_enabled: true, judge_sample_size: 4, include_random_floor: false}\n"
+    )
+    s = Settings.load(tmp_path / "s.yaml")
+    assert (s.paths.data_dir, s.models.embed_batch_size, s.kg.max_regions_for_extraction, s.eval.judge_sample_size) == ("d", 8, 9, 4)

@@ -1,4 +1,6 @@
+import numpy as np
 import pytest
+from pyspark.errors import PythonException
 
 from lodewright.functions.embedders import embedded, hashing
 from lodewright.operators import checks, dense, fusion, lexical, metrics
@@ -53,11 +55,27 @@ def test_interleaving_and_regions(spark):
 def test_dense_ties_and_zero_vectors(spark):
     items = spark.createDataFrame([(3, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 0.0])], "item_id long, embedding array<double>")
     q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, embedding array<double>")
-    got = listed(dense.top_k(items, q, 9, check=True), "item_id", "score")
+    got = listed(dense.top_k(items, q, 9), "item_id", "score")
     assert got == [(1, 1.0), (3, 1.0), (2, 0.0)]
-    with pytest.raises(ValueError):
-        dense.top_k(items, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>"), 1, check=True)
-    assert dense.top_k(items.limit(0), q, 3).count() == 0
+    with pytest.raises(PythonException, match="different dimensions"):
+        dense.top_k(items, spark.createDataFrame([("q", [1.0])], "query_id string, embedding array<double>"), 1).collect()
+    assert dense.top_k(items.limit(0), q, 3).count() == 0 and dense.top_k(items, q.limit(0), 3).count() == 0
+    odd = spark.createDataFrame([(5, None), (6, [None, 1.0]), (None, [1.0, 0.0]), (7, [1.0, 1.0])], "item_id long, embedding array<double>")
+    assert [r["item_id"] for r in dense.top_k(odd, q, 9).collect()] == [7]
+
+
+def test_dense_search_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(-3, 4, (400, 6)), rng.integers(-3, 4, (90, 6))
+    items = spark.createDataFrame([(f"i{i:03d}", v.tolist()) for i, v in enumerate(x.astype(float))], "item_id string, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y.astype(float))], "query_id long, embedding array<double>")
+    whole = sorted(map(tuple, dense.top_k(items, q, 7).select("query_id", "rank", "item_id").collect()))
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1), 1e-30)[:, None]
+    s = np.round(unit(y) @ unit(x).T, 9)
+    assert whole == [(i, r + 1, f"i{j:03d}") for i in range(90) for r, j in enumerate(np.lexsort((np.arange(400), -s[i]))[:7])]
+    for name, value in (("QUERY_BLOCK", 16), ("ITEM_BLOCK", 32), ("SENT_BYTES", 1000)):
+        monkeypatch.setattr(dense, name, value)
+    assert sorted(map(tuple, dense.top_k(items, q, 7).select("query_id", "rank", "item_id").collect())) == whole
 
 
 def test_random_floor_is_stable_and_distinct(spark):
@@ -67,6 +85,8 @@ def test_random_floor_is_stable_and_distinct(spark):
     assert first == again
     assert len({x[:2] for x in first}) == 10
     assert fusion.random_floor(items.limit(3), q, 5).count() == 6
+    many = spark.createDataFrame([(f"i{n}",) for n in range(500)], "item_id string")
+    assert len({tuple(r)[:2] for r in fusion.random_floor(many, q, 5).collect()}) == 10
 
 
 def test_hashing_embedder(spark):
