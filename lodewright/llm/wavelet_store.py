@@ -5,10 +5,11 @@ plane holds the next bits after a stable sort by the bit before.  With counts of
 their search (select) a single file answers: the id at a place, how often an id occurs before a
 place, and where its n-th occurrence is, without decoding the rest.
 
-File format (little endian): magic ``LWM1``, bits (u32), number of ids n (u64), number of
-documents (u64), zeros of each plane (u64 each), then the documents' id counts and the planes,
-each a block of (compressed size u64, zstd frame).  A plane is ceil(n / 8) bytes, first place in
-the highest bit.  Counts are u32.  Rank tables are built on opening, a number for 512 places.
+File format (little endian): magic ``LWM2``, bits (u32), number of ids n (u64), number of
+documents (u64), zeros of each plane (u64 each); the rank directory, for each plane the ones before each
+of its blocks (u64 each); the sizes of all frames (u32 each: the documents' id counts, then the blocks of each
+plane); the frames (zstd).  A block is ``BLOCK`` places of a plane, first place in the highest bit.
+Counts are u32.  Opening reads the head alone; a question decompresses the blocks that it touches.
 
 ``write`` ranges the documents by doc_id, encodes them, and stores each shard's file as one row
 of a table in the shared folder, through Spark's own writer: a lost executor's shards are
@@ -16,11 +17,13 @@ written again, and no path outside the shared folder is touched.  A shard closes
 ``SHARD_IDS`` ids, so memory in a task is bounded by that and one document.
 
 Defined results: a null or empty text is its end id alone; rows of equal doc_id follow each
-other in the order of their texts' hashes; a null doc_id comes first; an empty table has no shards.
+other in the order of their texts' hashes; a null doc_id comes first; a very long text is one document in one shard; an empty table has no shards; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,28 +36,27 @@ from pyspark.sql import functions as F
 
 from . import common, pretokens
 
-MAGIC = b"LWM1"
+MAGIC = b"LWM2"
 SHARD_IDS = 1 << 20
-_STEP = 512
-
-
-def _packed(data: bytes, level: int) -> bytes:
-    frame = zstandard.ZstdCompressor(level=level).compress(data)
-    return struct.pack("<Q", len(frame)) + frame
+BLOCK = 1 << 16
 
 
 def encode_shard(ids: np.ndarray, counts: np.ndarray, bits: int, level: int = 1) -> bytes:
     """The file of a shard; ``counts`` are the ids of each document."""
-    planes, zeros, now = [], [], ids
+    packer = zstandard.ZstdCompressor(level=level)
+    frames, zeros, ranks, now = [packer.compress(counts.astype("<u4").tobytes())], [], [], ids
     for b in range(bits - 1, -1, -1):
         bit = (now >> now.dtype.type(b) & now.dtype.type(1)).astype(bool)
-        planes.append(np.packbits(bit).tobytes())
+        plane = np.packbits(bit)
+        frames += [packer.compress(plane[i : i + BLOCK // 8].tobytes()) for i in range(0, len(plane), BLOCK // 8)]
+        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        ranks.append((np.cumsum(ones) - ones).astype("<u8"))
         low = now[~bit]
         zeros.append(len(low))
         if b:
             now = np.concatenate([low, now[bit]])
-    head = MAGIC + struct.pack("<IQQ", bits, len(ids), len(counts)) + np.array(zeros, "<u8").tobytes()
-    return head + b"".join(_packed(x, level) for x in [counts.astype("<u4").tobytes(), *planes])
+    head = MAGIC + struct.pack("<IQQ", bits, len(ids), len(counts)) + np.array(zeros, "<u8").tobytes() + np.concatenate(ranks).tobytes()
+    return head + np.array([len(f) for f in frames], "<u4").tobytes() + b"".join(frames)
 
 
 class Shard:
@@ -63,30 +65,42 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a shard file")
-        self.bits, self.n, docs = struct.unpack_from("<IQQ", data, 4)
+        self.data = data
+        self.bits, self.n, _ = struct.unpack_from("<IQQ", data, 4)
+        self.blocks = -(-self.n // BLOCK)
         at = 24
         self.zeros = np.frombuffer(data, "<u8", self.bits, at).astype(np.int64)
         at += 8 * self.bits
-        blocks, open_frame = [], zstandard.ZstdDecompressor()
-        for _ in range(1 + self.bits):
-            (size,) = struct.unpack_from("<Q", data, at)
-            blocks.append(open_frame.decompress(data[at + 8 : at + 8 + size], max_output_size=max(1, 4 * docs, self.n)))
-            at += 8 + size
-        self.counts = np.frombuffer(blocks[0], "<u4")
-        self.planes = [np.frombuffer(x, np.uint8) for x in blocks[1:]]
-        self._ranks: list[np.ndarray] | None = None
+        self.ranks = np.frombuffer(data, "<u8", self.bits * self.blocks, at).astype(np.int64).reshape(self.bits, self.blocks)
+        at += 8 * self.ranks.size
+        sizes = np.frombuffer(data, "<u4", 1 + self.ranks.size, at).astype(np.int64)
+        self.places = at + 4 * len(sizes) + np.append(0, np.cumsum(sizes))
+        self.opener = zstandard.ZstdDecompressor()
+        self.opened: dict[int, np.ndarray] = {}
+
+    def _frame(self, i: int) -> bytes:
+        return self.opener.decompress(self.data[self.places[i] : self.places[i + 1]])
+
+    @functools.cached_property
+    def counts(self) -> np.ndarray:
+        return np.frombuffer(self._frame(0), "<u4")
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        i = 1 + plane * self.blocks + block
+        if i not in self.opened:
+            self.opened[i] = np.frombuffer(self._frame(i), np.uint8)
+        return self.opened[i]
 
     def _ones(self, plane: int, place: int) -> int:
         """Ones of a plane before a place."""
-        if self._ranks is None:
-            step = _STEP // 8
-            self._ranks = []
-            for p in self.planes:
-                ones = np.bitwise_count(np.append(p, np.zeros(-len(p) % step, np.uint8))).reshape(-1, step).sum(1, dtype=np.int64)
-                self._ranks.append(np.append(0, np.cumsum(ones)))
-        block = place // _STEP
-        rest = np.unpackbits(self.planes[plane][block * _STEP // 8 : (place + 7) // 8])[: place - block * _STEP]
-        return int(self._ranks[plane][block] + rest.sum())
+        block, rest = divmod(place, BLOCK)
+        if not rest:
+            return int(self.ranks[plane, block]) if block < self.blocks else self.n - int(self.zeros[plane])
+        bits = self._block(plane, block)
+        ones = int(np.bitwise_count(bits[: rest // 8]).sum())
+        if rest % 8:
+            ones += (int(bits[rest // 8]) >> (8 - rest % 8)).bit_count()
+        return int(self.ranks[plane, block]) + ones
 
     def access(self, place: int) -> int:
         """The id at a place."""
@@ -94,7 +108,8 @@ class Shard:
             raise IndexError(place)
         value = 0
         for k in range(self.bits):
-            bit = int(self.planes[k][place >> 3] >> (7 - place % 8) & 1)
+            block, rest = divmod(place, BLOCK)
+            bit = int(self._block(k, block)[rest >> 3] >> (7 - rest % 8) & 1)
             ones = self._ones(k, place)
             place = int(self.zeros[k]) + ones if bit else place - ones
             value = value << 1 | bit
@@ -144,7 +159,8 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, kind)
         for k in range(self.bits - 1, -1, -1):
-            bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
+            plane = b"".join(self._frame(1 + k * self.blocks + i) for i in range(self.blocks))
+            bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n).view(bool)
             up = np.empty(self.n, kind)
             up[~bit] = now[: self.zeros[k]]
             up[bit] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))

@@ -66,8 +66,9 @@ def test_restart_keeps_counts(monkeypatch):
     assert [t.count(w) for w in (b" hello", b"world", b" hello")] == want
 
 
-@pytest.mark.parametrize("n", [0, 1, 7, 513, 4000])
-def test_wavelet_shards(n):
+@pytest.mark.parametrize(("n", "block"), [(0, 64), (1, 64), (7, 1 << 16), (513, 64), (1024, 64), (4000, 256), (4000, 1 << 16)])
+def test_wavelet_shards(n, block, monkeypatch):
+    monkeypatch.setattr(wavelet_store, "BLOCK", block)
     rng = np.random.default_rng(n)
     ids = rng.integers(0, 300, n).astype(np.uint16)
     counts = np.array([n // 3, n - n // 3])
@@ -84,6 +85,13 @@ def test_wavelet_shards(n):
         s.access(n)
 
 
+def test_a_question_opens_few_blocks(monkeypatch):
+    monkeypatch.setattr(wavelet_store, "BLOCK", 256)
+    ids = (np.arange(50_000) * 7919 % 300).astype(np.uint16)
+    s = wavelet_store.Shard(wavelet_store.encode_shard(ids, np.array([len(ids)]), 9))
+    assert s.access(31_000) == ids[31_000] and len(s.opened) <= 2 * 9
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, start long")
 
