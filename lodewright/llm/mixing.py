@@ -12,7 +12,8 @@ bucket, so a source with a third of all rows spreads over all tasks.
 
 Defined results: a null text has size 0; a null source is a source, the last one; documents
 of size 0 are taken 0 times; an empty table gives an empty mix; equal rows are rows of their
-own; reruns give the same result, as the order comes from a hash of doc_id, source, size and seed.
+own; reruns give the same result, as the order comes from a hash of doc_id, source, size and seed; a very
+long text is one document like any other; other columns, whatever their names, are ignored by the schedule and pass through the mix.
 """
 
 from __future__ import annotations

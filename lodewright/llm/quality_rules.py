@@ -6,8 +6,8 @@ base figures of a whole text.  All of it is one narrow projection of built-in fu
 no shuffle, no join, no Python.
 
 Defined results: a null or empty text has no words, counts of 0, and is rejected with
-``base_failed``; repeated rows are judged one by one; other columns pass through, and an own
-column of the same name wins over a passed one.
+``base_failed``; repeated rows, null and equal ids are judged one by one; a very long text is judged whole; an empty
+table gives no rows; other columns pass through, and an own column of the same name wins over a passed one.
 """
 
 from __future__ import annotations
@@ -42,6 +42,25 @@ BOILERPLATE = (
     "lorem ipsum",
     "powered by",
     "share this",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "nutzungsbedingungen",
+    "cookies akzeptieren",
+    "newsletter abonnieren",
+    "hier klicken",
+    "weiterlesen",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions d'utilisation",
+    "accepter les cookies",
+    "cliquez ici",
+    "lire la suite",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos de uso",
+    "aceptar cookies",
+    "haga clic aquí",
+    "leer más",
 )
 #: A line that shows no terminal mark still passes with this many words (wrapped prose).
 WRAPPED_WORDS = 12
