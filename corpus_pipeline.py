@@ -8,6 +8,10 @@ table that the next one reads:
 3. ``mixing``: documents become the copies that the mix takes, in the columns of documents; a
    copy that the mix takes in part is cut after its words.
 4. ``packing``: the copies' tokens, cut into pieces of training sequences.
+
+Defined results, in every stage: null and empty texts go in the first stage (they have no words); null ids, equal ids
+and repeated rows are rows of their own, compared by their texts; very long texts are taken whole; an empty table gives
+an empty one; other columns than those of documents, whatever their names, pass through until the last stage, which has its own.
 """
 
 from __future__ import annotations
