@@ -149,14 +149,6 @@ def verify_log(spark, sf_dir):
     return _rounded(evaluation.report(readers.retrieval_log(spark, path)))
 
 
-def _four(spark, sf_dir) -> tuple[systems.Corpus, DataFrame, dict]:
-    c, asked = _corpus(spark, sf_dir), I.questions(spark, sf_dir).select("query_id", "question")
-    v = stage(systems.query_vectors(asked), "query-vectors")
-    fused, seen = systems.enhanced(c, asked, v)
-    hits = {systems.BASELINE: (systems.baseline(c, v), None), systems.ENHANCED: (fused, seen), systems.BM25: (systems.bm25(c, asked), None), systems.RANDOM: (systems.random(c, asked), None)}
-    return c, asked, {name: (stage(a, "hits"), None if b is None else stage(b, "hits")) for name, (a, b) in hits.items()}
-
-
 _FOUR = f"""WITH {_enhanced('SELECT query_id, question FROM q')}, {S.GOLD}, ac AS (SELECT id AS chunk_id, text FROM ({_SYSTEM_ITEMS})), {S.bm25('bm', 'ac', 'chunk_id', 'text', 5)},
 {S.random_floor('rf', _SYSTEM_ITEMS, 'q', 5)},
 base AS (SELECT query_id, item_id, rank FROM tx WHERE rank <= 5),
@@ -170,8 +162,8 @@ elog AS (SELECT system, query_id, region_id, row_number() OVER (PARTITION BY sys
 @query(_FOUR + " SELECT * FROM report")
 def eval_four_systems(spark, sf_dir):
     """Four systems over the documents, compared segment by segment."""
-    c, _, hits = _four(spark, sf_dir)
-    retrieved = {name: systems.retrieved_regions(c, *h) for name, h in hits.items()}
+    c, asked = _corpus(spark, sf_dir), stage(I.questions(spark, sf_dir).select("query_id", "question"), "asked")
+    retrieved = {name: stage(system.regions(asked), "retrieved") for name, system in systems.all_of(c).items()}
     return _rounded(evaluation.report(evaluation.log(I.question_set(spark, sf_dir), retrieved)))
 
 

@@ -6,13 +6,18 @@ that gives a function from (prompt, system) to a reply; each Python worker calls
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..conf import Llm
 from ..functions.text import cache_key
 from ..staging import stage
 
@@ -89,3 +94,56 @@ def complete(asked: DataFrame, cache: DataFrame, model: Model, system: str | Non
 
     todo = misses(asked, cache).select("key", "prompt")
     return (stage(todo, "model-misses").repartition(1) if per_minute else todo).mapInPandas(run, "key string, reply string")
+
+
+# Addresses of services with the common chat interface, and the variables that hold their keys.
+SERVICES = {
+    "openai": ("https://api.openai.com/v1", "OPENAI_API_KEY"),
+    "groq": ("https://api.groq.com/openai/v1", "GROQ_API_KEY"),
+    "together": ("https://api.together.xyz/v1", "TOGETHER_API_KEY"),
+    "openrouter": ("https://openrouter.ai/api/v1", "OPENROUTER_API_KEY"),
+    "ollama": ("http://localhost:11434/v1", ""),
+}
+
+
+def hosted(model: str, service: str = "", base_url: str = "", api_key_env: str = "", max_tokens: int = 800, timeout_s: float = 90.0) -> Model:
+    """A model behind the common chat interface: one of ``SERVICES`` by name, or any ``base_url``.
+
+    The key is read from the environment of the worker that asks.  Rate limits, server faults and
+    lost connections are transient; other refusals raise at once.
+    """
+    known_url, known_key = SERVICES.get(service, ("", ""))
+    url, key_name = (base_url or known_url).rstrip("/"), api_key_env or known_key
+    if not url:
+        raise ValueError(f"no address for {service or 'the model'}: give base_url")
+
+    def load() -> Callable[[str, str | None], str]:
+        key = os.environ.get(key_name, "") if key_name else ""
+        if key_name and not key:
+            raise ValueError(f"the environment has no {key_name}")
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+
+        def ask(prompt: str, system: str | None) -> str:
+            said = ([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": prompt}]
+            body = json.dumps({"model": model, "messages": said, "max_tokens": max_tokens, "temperature": 0}).encode()
+            try:
+                with urllib.request.urlopen(urllib.request.Request(f"{url}/chat/completions", body, headers), timeout=timeout_s) as reply:
+                    return json.load(reply)["choices"][0]["message"]["content"] or ""
+            except urllib.error.HTTPError as e:
+                if is_transient(e.code):
+                    after = e.headers.get("Retry-After", "")
+                    raise TransientError(f"status {e.code}", float(after) if after.replace(".", "", 1).isdigit() else None) from e
+                raise RuntimeError(f"the model refused: status {e.code}") from e
+            except (urllib.error.URLError, TimeoutError, ConnectionError) as e:
+                raise TransientError(str(e)) from e
+
+        return ask
+
+    return load
+
+
+def of(settings: Llm) -> Model:
+    """The model that settings name; ``stub`` and ``local`` are given by the caller, as they are code."""
+    if settings.backend not in SERVICES and settings.backend != "openai_compatible":
+        raise ValueError(f"{settings.backend} has no service; give a model factory")
+    return hosted(settings.model, settings.backend, settings.base_url, settings.api_key_env, settings.max_tokens, settings.timeout_s)

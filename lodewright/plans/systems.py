@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -98,3 +99,37 @@ def answers(c: Corpus, questions: DataFrame, text: DataFrame, visual_hits: DataF
         reached = graph.expand(graph.link(questions, c.nodes), c.nodes, c.edges, settings.graph_hops)
         lines = lines.unionByName(evidence.graph_lines(graph.describe(reached, c.nodes, c.edges)))
     return evidence.stub_answers(evidence.prompts(questions, lines), responses)
+
+
+class System:
+    """One system over a corpus: ``retrieve`` ranks for questions (query_id, question), ``answer`` answers them."""
+
+    def __init__(self, name: str, corpus: Corpus, ranked: Callable[[DataFrame], tuple[DataFrame, DataFrame | None]], settings: Retrieval):
+        self.name, self.corpus, self.ranked, self.settings = name, corpus, ranked, settings
+
+    def retrieve(self, questions: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Rankings of chunks and, if the system has them, of visual regions."""
+        return self.ranked(questions)
+
+    def regions(self, questions: DataFrame) -> DataFrame:
+        return retrieved_regions(self.corpus, *self.retrieve(questions))
+
+    def answer(self, questions: DataFrame, responses: dict | None = None) -> DataFrame:
+        """(query_id, question, evidence, prompt, answer) by the offline model."""
+        return answers(self.corpus, questions, *self.retrieve(questions), self.settings, responses)
+
+    def ask(self, question: str, responses: dict | None = None) -> DataFrame:
+        """One question's answer: a row like those of ``answer``."""
+        asked = self.corpus.chunks.sparkSession.createDataFrame([("question", question)], "query_id string, question string")
+        return self.answer(asked, responses)
+
+
+def all_of(c: Corpus, settings: Retrieval = Retrieval(), seed: int = 42, dim: int = 64) -> dict[str, System]:  # noqa: B008
+    """The four systems over a corpus, by name."""
+    ranked = {
+        BASELINE: lambda q: (baseline(c, query_vectors(q, dim), settings.top_k), None),
+        ENHANCED: lambda q: enhanced(c, q, query_vectors(q, dim), settings),
+        BM25: lambda q: (bm25(c, q, settings.top_k), None),
+        RANDOM: lambda q: (random(c, q, settings.top_k, seed), None),
+    }
+    return {name: System(name, c, f, settings) for name, f in ranked.items()}

@@ -1,7 +1,13 @@
+import http.server
+import json
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
+from lodewright.conf import Llm
 from lodewright.functions import boxes, text, vectors
+from lodewright.operators import models
 
 
 def one(spark, column, **values):
@@ -99,3 +105,50 @@ def test_vectors(spark):
     assert one(spark, vectors.normalised(F.array(F.lit(3.0), F.lit(4.0)))) == pytest.approx([0.6, 0.8])
     with pytest.raises(ValueError):
         vectors.slot(F.lit("x"), 60)
+
+
+class _Chat(http.server.BaseHTTPRequestHandler):
+    refused = 0
+
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        status, said = 200, {"choices": [{"message": {"content": asked["messages"][-1]["content"].upper()}}]}
+        if asked["model"] == "busy" and _Chat.refused < 2:
+            _Chat.refused += 1
+            status = 429
+        elif asked["model"] == "nobody":
+            status = 400
+        self.send_response(status)
+        self.send_header("Retry-After", "0")
+        self.end_headers()
+        self.wfile.write(json.dumps(said).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_hosted_models(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    try:
+        asked = models.keyed(spark.createDataFrame([("one",), ("two",), ("one",)], "prompt string"), "x", "m")
+        none = spark.createDataFrame([], "key string, reply string")
+        got = sorted(r["reply"] for r in models.complete(asked, none, models.hosted("m", base_url=url)).collect())
+        assert got == ["ONE", "TWO"]
+        busy = models.hosted("busy", base_url=url)()
+        assert models.patient(lambda: busy("hi", "be brief")) == "HI"
+        with pytest.raises(RuntimeError, match="400"):
+            models.patient(lambda: models.hosted("nobody", base_url=url)()("hi", None))
+    finally:
+        server.shutdown()
+    gone = models.hosted("m", base_url=url)()
+    server.server_close()
+    with pytest.raises(models.TransientError):
+        gone("hi", None)
+    with pytest.raises(ValueError, match="no address"):
+        models.hosted("m")
+    with pytest.raises(ValueError, match="NO_SUCH_KEY"):
+        models.hosted("m", base_url=url, api_key_env="NO_SUCH_KEY")()
+    with pytest.raises(ValueError, match="stub"):
+        models.of(Llm())
