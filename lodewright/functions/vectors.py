@@ -22,8 +22,8 @@ def normalised(v: Column) -> Column:
 
 def embedding_tokens(text: Column) -> Column:
     """Lower-case words without anything but letters and digits, empty ones left out."""
-    words = F.split(F.lower(text), r"(?U)\s+")
-    return F.filter(F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
+    bare = F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}\s]+", "")
+    return F.filter(F.split(bare, r"(?U)\s+"), lambda w: w != "")
 
 
 def slot(token: Column, dim: int) -> Column:

@@ -39,27 +39,31 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"), F.sum(length).alias("n_tokens"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
+
+
 def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(query_id, id, score) of documents that share a term with a query of (query_id, question); repeated terms count again.
 
-    Texts are tokenised once: lengths and postings come from a staged table of tokens.
+    Texts are tokenised once, into a staged table.  Documents are then dealt by their id, and with query terms that may be
+    broadcast, postings and scores add up where a document lies: nothing else is shuffled.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = stage(asked, "lexical-terms")
-    wanted = asked.select("term").distinct()
-    if wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
+    wanted = _few(asked.select("term").distinct())
     sized = stage(docs.select(F.col(id_col), tokens(F.col(text)).alias("tokens")), "lexical-tokens")
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+    df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", _idf().alias("idf"))  # stats is one row
+    weighted = _few(stage(weighted, "lexical-weights"))
     postings = (
-        sized.select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        sized.repartition(F.col(id_col))
+        .select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy(id_col, "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    postings = stage(postings, "lexical-postings")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", _idf().alias("idf"))  # stats is one row
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return postings.join(weighted, "term").groupBy("query_id", id_col).agg(F.sum(F.col("times") * F.col("idf") * tf).alias("score"))
 
@@ -70,11 +74,11 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", t
     The first ``k`` ids are enough to fill any query, so only those are added for it.
     """
     checks.positive("k", k)
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.col(id_col))
+    best = scores(docs, queries, id_col, text).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    best = stage(best.drop("rank"), "lexical-best")
     fill = docs.select(F.col(id_col)).orderBy(id_col).limit(2 * k)
     # A query lacks at most k items, and at most k of the first 2k ids can be among those it has.
-    scored = scores(docs, queries, id_col, text)
-    filled = queries.select("query_id").crossJoin(F.broadcast(fill)).join(scored, ["query_id", id_col], "left_anti").withColumn("score", F.lit(0.0))
-    both = scored.unionByName(filled)
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.col(id_col))
-    ranked = both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    filled = queries.select("query_id").crossJoin(F.broadcast(fill)).join(best, ["query_id", id_col], "left_anti").withColumn("score", F.lit(0.0))
+    ranked = best.unionByName(filled).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col(id_col).alias("item_id"), "score", "rank")
