@@ -57,7 +57,8 @@ HUBS = 4
 #: Links between components that one task unites.
 LOCAL_LINKS = 1_000_000
 ROWS_PER_RANGE = 1 << 20
-BROADCAST_IDS = 1_000_000
+#: Rows of ids and labels that are broadcast, of about 110 bytes each there: 22 MB.
+BROADCAST_IDS = 200_000
 #: A candidate passes its signatures if they agree in this much less than the similarity asked for.
 SLACK = 0.14
 _LOWER = np.arange(256, dtype=np.uint8)
