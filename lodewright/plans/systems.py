@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from ..conf import Retrieval
 from ..functions.embedders import embedded, hashing
 from ..operators import dense, evidence, fusion, graph, lexical
+from ..staging import stage
 
 BASELINE, ENHANCED, BM25, RANDOM = "baseline_text_rag", "enhanced_multimodal_kg", "bm25_lexical_floor", "random_floor"
 
@@ -63,7 +64,7 @@ def visual(c: Corpus, vectors: DataFrame, image_vectors: DataFrame | None, setti
 
 def graph_hits(c: Corpus, questions: DataFrame, settings: Retrieval) -> DataFrame:
     """Chunks of the regions that a question's entities lead to, in corpus order, as a ranking."""
-    seeds = graph.link(questions, c.nodes)
+    seeds = stage(graph.link(questions, c.nodes), "graph-seeds")
     regions = graph.expansion_regions(seeds, c.nodes, c.edges, settings.graph_hops, settings.max_graph_regions)
     carried = c.chunks.select("chunk_id", F.explode("source_region_ids").alias("region_id"))
     chunks = regions.join(carried, "region_id").select("query_id", F.col("chunk_id").alias("item_id")).distinct()
@@ -96,7 +97,8 @@ def answers(c: Corpus, questions: DataFrame, text: DataFrame, visual_hits: DataF
     if visual_hits is not None:
         lines = lines.unionByName(evidence.visual_lines(visual_hits, c.regions))
     if c.nodes is not None and visual_hits is not None:
-        reached = graph.expand(graph.link(questions, c.nodes), c.nodes, c.edges, settings.graph_hops)
+        seeds = stage(graph.link(questions, c.nodes), "graph-seeds")
+        reached = stage(graph.expand(seeds, c.nodes, c.edges, settings.graph_hops), "graph-reached")
         lines = lines.unionByName(evidence.graph_lines(graph.describe(reached, c.nodes, c.edges)))
     return evidence.stub_answers(evidence.prompts(questions, lines), responses)
 
