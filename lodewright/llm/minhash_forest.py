@@ -50,6 +50,8 @@ DEPTH = 16
 SMALL = 9
 #: Crowded regions of trees before each of these are closed together.
 TURNS = (2, TREES)
+#: Bytes of text that are sketched at once: a worker may hold a tokenizer's tables of another stage beside them.
+SLICE_BYTES = 512 << 10
 #: Members of a block, and bytes of their sets, on average.
 BLOCK = 512
 BLOCK_BYTES = 2 << 20
@@ -131,7 +133,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = SpanHasher()
-        for ids, texts in pretokens.slices(batches):
+        for ids, texts in pretokens.slices(batches, SLICE_BYTES):
             s = Shingles(texts, width, hasher)
             columns = [ids, pa.array(s.sizes), *map(pa.array, s.digests()), pa.array([r.tobytes() for r in signatures(s)], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "class_a", "class_b", "signature"])
@@ -234,7 +236,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = SpanHasher(), set()
-        for _, texts in pretokens.slices(batches):
+        for _, texts in pretokens.slices(batches, SLICE_BYTES):
             s = Shingles(texts, width, hasher)
             a, b = s.digests()
             stops = np.cumsum(s.sizes)

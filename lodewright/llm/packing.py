@@ -29,6 +29,8 @@ from . import pretokens
 
 CAPACITY = 2048
 GROUP_TOKENS = 2048 * 1024
+#: Bytes of text that are encoded at once; the arrays of a pass take some 80 times as much (40 MB).
+SLICE_BYTES = 512 << 10
 QUADRATIC = 1024
 _SEQUENCE_BITS = 36
 SCHEMA = (
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         task = TaskContext.get()
         base = (task.partitionId() if task else 0) << _SEQUENCE_BITS
         group, number = _Group(), 0
-        for names, run_of in pretokens.slices(batches):
+        for names, run_of in pretokens.slices(batches, SLICE_BYTES):
             ids, counts = encoder.encode(run_of, end=end_id)
             at = 0
             for doc_id, n in zip(names.to_pylist(), counts.tolist(), strict=True):

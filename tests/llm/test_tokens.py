@@ -1,16 +1,18 @@
 """Token stores, packing and token counts against the libraries themselves."""
 
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lodewright.llm import packing, pretokens, token_count, wavelet_store  # noqa: E402
+from lodewright.llm import minhash_forest, packing, pretokens, token_count, wavelet_store  # noqa: E402
 
 BYTES, PLAIN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = "aabbstrevmldSTREL'''   \n\t12.,!é ßñ 　中字́İΣ<|>"
@@ -160,3 +162,31 @@ def test_counts_query(spark):
     got = {(r["doc_id"], r["n_bytes"]): r for r in token_count.count_tokens(frame(spark, ROWS), BYTES).collect()}
     assert got[3, 0]["n_tokens"] == 0 and got[9, 45000]["over_limit"] and not got[7, 18]["over_limit"]
     assert token_count.count_tokens(frame(spark, []), BYTES).count() == 0
+
+
+class _Worker:
+    """Stands for a table of documents: gives out the function that a Python worker would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+@pytest.mark.parametrize("operator", [lambda docs: packing.pack(docs, PLAIN), lambda docs: minhash_forest.sketch(docs, 5)])
+def test_a_pipeline_worker_holds_little_beside_its_batch(operator):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in row) for row in rng.integers(0, 5000, (400, 4000)).tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    run = operator(_Worker())
+    for _ in run(iter([batch.slice(0, 50)])):  # the tokenizer's tables are there
+        pass
+    tracemalloc.start()
+    try:
+        for _ in run(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert peak < 60
