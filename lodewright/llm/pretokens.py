@@ -15,6 +15,7 @@ normalising tokenizer, those not in the composed form that it would bring them t
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import os
 import unicodedata
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .span_hash import SpanHasher
+from .span_hash import short_hashes
 
 LETTER, DIGIT, OTHER, BLANK, SPACE, UNSURE = 0, 1, 2, 3, 4, 5
 #: Bytes of text that one numpy pass works on, and distinct pieces that a worker remembers.
@@ -53,6 +54,14 @@ def classes() -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def byte_letters() -> np.ndarray:
+    """The code point that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 up."""
+    prints = np.zeros(256, bool)
+    prints[0x21:0x7F] = prints[0xA1:0xAD] = prints[0xAE:] = True
+    return np.where(prints, np.arange(256), 255 + np.cumsum(~prints)).astype("<u4")
+
+
 class Pieces:
     """The pieces of some texts: ``buf`` (bytes), ``starts`` and ``ends`` (byte places), ``doc`` (text of each)."""
 
@@ -141,6 +150,10 @@ class Encoder:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.normal = spec["normalizer"] is not None
         self.joins_space = not self.normal
+        last = spec["pre_tokenizer"] or {}
+        last = last.get("pretokenizers", [last])[-1]
+        #: Whether a piece, its bytes as letters, is a word of the library's model.
+        self.letters = last.get("type") == "ByteLevel" and not last["add_prefix_space"]
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self._forget()
 
@@ -153,7 +166,6 @@ class Encoder:
         self.slot = np.full(1 << _SLOT_BITS, -1, np.int32)
         self.order = np.zeros(0, np.int64)
         self.sorted = np.zeros(0, np.uint64)
-        self.hasher = SpanHasher()
 
     def plain(self, text: str) -> bool:
         """Whether the local cuts hold for a text, as far as its characters' classes do not tell."""
@@ -190,15 +202,15 @@ class Encoder:
         stops = np.flatnonzero(start if self.joins_space else start | blank)
         if not self.joins_space:
             start &= ~blank
-        chars = np.flatnonzero(start)
-        limits = np.append(stops, len(cls))[np.searchsorted(stops, chars, "right")]
+        chars = stops if self.joins_space else np.flatnonzero(start)
+        limits = np.append(chars, len(cls))[1:] if self.joins_space else np.append(stops, len(cls))[np.searchsorted(stops, chars, "right")]
         starts, ends = (chars, limits) if place is None else (place[chars], np.append(place, len(buf))[limits])
-        doc = np.searchsorted(begins, starts, "right") - 1
+        doc = np.repeat(np.arange(len(sizes)), np.diff(np.append(np.searchsorted(starts, begins), len(starts))))
         return Pieces(buf, starts, ends, doc), whole
 
     def find(self, p: Pieces) -> np.ndarray:
         """The number of each piece in the table of known pieces; new ones are encoded by the library."""
-        key, check = self.hasher(p.buf, p.starts, p.ends)
+        key, check = short_hashes(p.buf, p.starts, p.ends)
         slot = (key >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
         known = self.slot[slot]
         hit = known >= 0
@@ -240,8 +252,13 @@ class Encoder:
 
     def _fill(self, size: int, pieces: list[bytes]) -> np.ndarray:
         """Put the pieces' ids at place ``size`` of the flat table; returns how many each has."""
-        texts = [x.decode("utf-8") for x in pieces]
-        ids = [e.ids for i in range(0, len(texts), 4096) for e in self.library.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
+        if self.letters:  # the pieces are cut: what remains is the model, which the library also runs by itself
+            said = byte_letters()[np.frombuffer(b"".join(pieces), np.uint8)].tobytes().decode("utf-32-le")
+            model, stops = self.library.model.tokenize, list(itertools.accumulate(map(len, pieces), initial=0))
+            ids = [[t.id for t in model(said[a:b])] for a, b in itertools.pairwise(stops)]
+        else:
+            texts = [x.decode("utf-8") for x in pieces]
+            ids = [e.ids for i in range(0, len(texts), 4096) for e in self.library.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         while size + int(sizes.sum()) > len(self.flat):
             self.flat = np.append(self.flat, self.flat * 0)
@@ -266,25 +283,25 @@ class Encoder:
         p, whole = self.pieces(texts)
         known = self.find(p)
         first, n_ids = self.at[known], self.at[known + 1] - self.at[known]
-        doc = p.doc
         add = 0 if end is None else 1
         lone = {i: self.library.encode(texts[i], add_special_tokens=False).ids for i in whole}
-        counts = np.bincount(doc, weights=n_ids, minlength=len(texts)).astype(np.int64)
+        counts = np.bincount(p.doc, weights=n_ids, minlength=len(texts)).astype(np.int64)
         for i, x in lone.items():
             counts[i] = len(x)
         counts += add
         stops = np.cumsum(counts)
         begins = stops - counts
         out = np.empty(int(stops[-1]) if len(stops) else 0, self.kind)
-        # Place of each piece's ids: its text's begin, then after the pieces before it.
+        # The pieces' ids follow each other; they pass over the end ids and the texts that stand by themselves.
         before = np.cumsum(n_ids) - n_ids
-        if len(doc):
-            lead = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-            base = np.repeat(before[lead], np.diff(np.append(lead, len(doc))))
-            target = begins[doc] + before - base
-            total = int(n_ids.sum())
-            inner = np.arange(total) - np.repeat(before, n_ids)
-            out[np.repeat(target, n_ids) + inner] = self.flat[np.repeat(first, n_ids) + inner]
+        inner = np.repeat(first - before, n_ids)
+        inner += np.arange(len(inner))
+        free = np.ones(len(out), bool)
+        if add:
+            free[stops - 1] = False
+        for i in lone:
+            free[begins[i] : stops[i]] = False
+        out[free] = self.flat[inner]
         for i, x in lone.items():
             out[begins[i] : begins[i] + len(x)] = x
         if end is not None and len(stops):

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _BLOCK = 1 << 12
+#: Eight-byte words of a span that are hashed word by word; longer spans are hashed one by one.
+_WORDS = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,3 +64,26 @@ class SpanHasher:
             total += (block * up[: len(block)]).sum(dtype=np.uint64) * scale
             scale *= step
         return total
+
+
+def short_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span, made for many short ones: the spans' eight-byte words are mixed in, one after the other."""
+    padded = np.zeros(len(buf) + 15, np.uint8)
+    padded[: len(buf)] = buf
+    words = np.ndarray(len(buf) + 8, "<u8", padded, strides=(1,))  # the word at each byte
+    size = ends - starts
+    word = words[starts] & _MASKS[np.minimum(size, 8)]
+    with np.errstate(over="ignore"):
+        length = size.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        one, two = mix(word + length), mix((word * np.uint64(0x9FB21C651E98DF25)) ^ length)
+        more, at = np.flatnonzero(size > 8), 8
+        while len(more) and at < 8 * _WORDS:
+            rest = size[more] - at
+            word = words[starts[more] + at] & _MASKS[np.minimum(rest, 8)]
+            one[more] = mix(one[more] + word * np.uint64(0xD1342543DE82EF95))
+            two[more] = mix(two[more] ^ (word * np.uint64(0x9E3779B97F4A7C15)))
+            more, at = more[rest > 8], at + 8
+    for i in more.tolist():
+        digest = hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        one[i], two[i] = np.frombuffer(digest, "<u8")
+    return one, two

@@ -46,15 +46,14 @@ def encode_shard(ids: np.ndarray, counts: np.ndarray, bits: int, level: int = 1)
     packer = zstandard.ZstdCompressor(level=level)
     frames, zeros, ranks, now = [packer.compress(counts.astype("<u4").tobytes())], [], [], ids
     for b in range(bits - 1, -1, -1):
-        bit = (now >> now.dtype.type(b) & now.dtype.type(1)).astype(bool)
+        bit = (now & now.dtype.type(1 << b)) != 0
         plane = np.packbits(bit)
         frames += [packer.compress(plane[i : i + BLOCK // 8].tobytes()) for i in range(0, len(plane), BLOCK // 8)]
-        ones = np.add.reduceat(bit, np.arange(0, len(bit), BLOCK), dtype=np.int64) if len(bit) else np.zeros(0, np.int64)
+        ones = np.array([np.count_nonzero(bit[i : i + BLOCK]) for i in range(0, len(bit), BLOCK)], np.int64)
         ranks.append((np.cumsum(ones) - ones).astype("<u8"))
-        low = now[~bit]
-        zeros.append(len(low))
-        if b:
-            now = np.concatenate([low, now[bit]])
+        zeros.append(len(bit) - int(ones.sum()))
+        if b:  # places are gathered: a mask's own way is slow where zeros and ones change often
+            now = np.concatenate([now.take(np.flatnonzero(~bit)), now.take(np.flatnonzero(bit))])
     head = MAGIC + struct.pack("<IQQ", bits, len(ids), len(counts)) + np.array(zeros, "<u8").tobytes() + np.concatenate(ranks).tobytes()
     return head + np.array([len(f) for f in frames], "<u4").tobytes() + b"".join(frames)
 
@@ -162,8 +161,8 @@ class Shard:
             plane = b"".join(self._frame(1 + k * self.blocks + i) for i in range(self.blocks))
             bit = np.unpackbits(np.frombuffer(plane, np.uint8), count=self.n).view(bool)
             up = np.empty(self.n, kind)
-            up[~bit] = now[: self.zeros[k]]
-            up[bit] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = now[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             now = up
         return now
 

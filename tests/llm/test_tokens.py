@@ -3,6 +3,7 @@
 import tracemalloc
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from lodewright.llm import minhash_forest, packing, pretokens, token_count, wavelet_store  # noqa: E402
+from lodewright.llm import minhash_forest, packing, pretokens, span_hash, token_count, wavelet_store  # noqa: E402
 
 BYTES, PLAIN = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ALPHABET = "aabbstrevmldSTREL'''   \n\t12.,!é ßñ 　中字́İΣ<|>"
@@ -31,6 +32,41 @@ def test_pieces_give_the_librarys_ids(path, texts):
         assert ids.tolist() == [x for w in want for x in w]
 
 
+@pytest.mark.parametrize("path", [BYTES, PLAIN])
+def test_new_pieces_cost_the_model_alone(path):
+    texts = TEXTS + ["".join(map(chr, range(0x250))), "Überzucht einöß\0 thtieser 12.5%"]
+    want = [pretokens.encoder(path).library.encode(t, add_special_tokens=False).ids for t in texts]
+    e = pretokens.Encoder(path)
+    e.library = SimpleNamespace(model=e.library.model, encode=e.library.encode)  # whole texts, but no pieces
+    ids, counts = e.encode(texts)
+    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+    e = pretokens.Encoder(path)
+    e.letters = False  # a tokenizer without a byte-level vocabulary
+    assert e.encode(texts)[0].tolist() == ids.tolist()
+
+
+def test_byte_letters_are_the_librarys():
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    assert set(map(chr, pretokens.byte_letters())) == set(ByteLevel.alphabet())
+    for c in (0, 32, 127, 160, 173, 255):  # the last byte of each character
+        text = bytes([0xC2 + (c >> 6 & 1), c & 0xBF | 0x80]).decode() if c > 127 else chr(c)
+        said = "".join(chr(pretokens.byte_letters()[b]) for b in text.encode())
+        assert ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)[0][0] == said
+
+
+def test_hashes_tell_spans_apart_wherever_they_lie():
+    rng = np.random.default_rng(2)
+    spans = [bytes([b]) * n for b in (0, 97) for n in range(1, 300)]
+    spans += [rng.integers(0, 2, n).astype(np.uint8).tobytes() for n in (1, 2, 7, 8, 9, 16, 17, 255, 256, 257, 264, 5000) for _ in range(20)]
+    spans += [bytes(a) + b"x" + bytes(b) for a in range(20) for b in range(20)]
+    spans = [spans[i] for i in rng.permutation(len(spans) * 2) % len(spans)]
+    ends = np.cumsum([len(x) for x in spans])
+    one, two = span_hash.short_hashes(np.frombuffer(b"".join(spans), np.uint8), ends - [len(x) for x in spans], ends)
+    both = len(set(zip(one.tolist(), two.tolist(), spans, strict=True)))
+    assert len(set(spans)) == len(set(one.tolist())) == len(set(two.tolist())) == both
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet=ALPHABET, max_size=30), max_size=8))
 def test_transducers_count_as_the_library(texts):
