@@ -3,20 +3,20 @@
 Vectors are coded by four bits for each pair of dimensions.  The codebooks are trained so that
 the error along a vector costs more than the error across it (anisotropic loss): for a large
 inner product only the parallel part of the error changes the score.  A search sums table
-entries by code for all rows, keeps the best ``KEEP`` for each query, and reranks these by
-exact inner products in double precision.
+entries by code for all rows and reranks by exact inner products in double precision: first the rows
+of the best sums, then all rows whose sum, with ``SURE`` times the error that sums have (measured for each query and scaled
+by what a row's code leaves of it), reaches the last of the ``k`` best so far.  How many that are follows from the rows, so close
+clusters, lengths of many orders and directions of little spread keep their recall; where sums tell nothing, all rows are reranked.
 
 The index codes every row.  The codebooks are fitted on at most ``SAMPLE`` rows, those of the
 smallest hash of their id, so the choice is the same in every run and its size is bounded.
 
-Scale: rows are coded where they are read, a block for each Arrow batch.  The blocks are dealt into groups
-of about ``GROUP_ROWS`` rows, and queries are sent to the groups, not codes to the queries: a task holds the
-codes of one group (some tens of MB), and query blocks stream by it.  While the table has fewer groups than the session
-has partitions, the queries are split as well, so that all tasks have work.  What is shuffled is the codes once (a few times in
-a small table) and the queries once for each group.  The reranking joins vectors by id; a vector near
-to very many queries is a skewed key that adaptive execution splits.  The scan of all rows for all queries
-grows with their product, as the fixed query set asks; its unit is one table lookup for two codes.  The number of
-candidates kept for a query grows with the square root of the table, as recall falls when a fixed number is kept.
+Scale: rows are coded where they are read, into small blocks of codes and vectors that are dealt into groups of at most
+``GROUP_ROWS`` rows and ``GROUP_BYTES`` of vectors, and of as many groups as the session has partitions if they are worth it.  Queries
+are sent to the groups, not rows to the queries: a task holds one group, query blocks stream by it, and it gives ``k`` rows for each
+query.  What is shuffled is the rows once, the queries once for each group, and these results.  The scan of all rows for all
+queries grows with their product, as the fixed query set asks; its unit is one table lookup for two codes.  The number of
+rows that are reranked first grows with the square root of the table.
 
 Defined results: vectors that are null, all zero, or hold a null or non-finite component take
 no part, neither do those of another length than the commonest one (ties: the smaller length);
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,10 +43,14 @@ CENTERS = 16
 PAIR = 2
 THRESHOLD = 0.2
 ROUNDS = 8
-#: Candidates kept for each query of a table of ``KEEP_ROWS`` rows or fewer.
+#: Rows that are reranked first for each query of a table of ``KEEP_ROWS`` rows or fewer.
 KEEP, KEEP_ROWS = 400, 50_000
 QUERIES_PER_BLOCK = 128
-GROUP_ROWS = 1 << 20
+GROUP_ROWS, GROUP_BYTES, BLOCK_ROWS = 1 << 20, 64 << 20, 4096
+#: Rows below which a table is not split into more groups.
+LEAST_ROWS = 8192
+#: Rows of a group by which the error of sums is measured for each query, and how many times that error a sum may be off.
+PROBES, SURE = 256, 4.0
 
 
 def usable(vector: Column) -> Column:
@@ -140,23 +145,71 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return np.clip(x, -1e18, 1e18).astype(np.float32)
 
 
-def scan(book: Codebook, packed: np.ndarray, q: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the ``keep`` rows of best table score for each query, and these scores."""
-    tables = book.tables(_scaled(q)).astype(np.float32)
-    keep = min(keep, packed.shape[1])
-    places = np.empty((len(q), keep), np.int64)
-    scores = np.empty((len(q), keep), np.float32)
-    for i in range(len(q)):
-        total = tables[i, 0][packed[0]]
-        for b in range(1, len(packed)):
-            total += tables[i, b][packed[b]]
-        best = np.argpartition(total, len(total) - keep)[len(total) - keep :]
-        places[i], scores[i] = best, total[best]
-    return places, scores
+def _reach(book: Codebook, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Length of what the codes leave of each row; it bounds, with the query's length, how far a table sum can be off."""
+    coded = book.centers[np.arange(book.parts), codes].reshape(len(x), -1)[:, : book.dim]
+    with np.errstate(over="ignore"):
+        left = np.sqrt(((x - coded) ** 2).sum(1)) + 1e-6 * np.sqrt((x * x).sum(1))  # the rest is for rounding of the sums
+        return np.maximum(left, 1e-30).astype(np.float32)
+
+
+class Group:
+    """Codes and vectors of some rows, and the search among them."""
+
+    def __init__(self, book: Codebook, ids: np.ndarray, packed: np.ndarray, reach: np.ndarray, vectors: np.ndarray):
+        self.book, self.ids, self.packed, self.reach, self.vectors = book, ids, packed, reach, vectors
+        self.largest = float(np.abs(vectors).max())
+        self.probes = np.unique(np.linspace(0, len(ids) - 1, PROBES).astype(np.int64))
+        self.probed = vectors[self.probes].astype(np.float64)
+
+    def _exact(self, q: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Inner products, added up from the first component to the last."""
+        out = np.zeros(len(places))
+        with np.errstate(over="ignore", invalid="ignore"):
+            for i in range(0, len(places), BLOCK_ROWS):
+                part = self.vectors[places[i : i + BLOCK_ROWS]].T.astype(np.float64)
+                for j, x in enumerate(q):
+                    out[i : i + BLOCK_ROWS] += part[j] * x
+        return out
+
+    def _best(self, places: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` ids with the best score of each."""
+        order = np.lexsort((self.ids[places], -np.where(np.isnan(scores), np.inf, scores), ~np.isnan(scores)))
+        places, scores = places[order], scores[order]
+        first = np.sort(np.unique(self.ids[places], return_index=True)[1])[:k]
+        return places[first], scores[first]
+
+    def near(self, asker: int, q: np.ndarray, table: np.ndarray, k: int, pool: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the best ``k`` ids; ``table`` is of the query's direction."""
+        n, largest = len(self.ids), float(np.abs(q).max())
+        unit = q / largest
+        unit = unit / np.sqrt((unit * unit).sum())
+        if n > 4 * pool and self.largest * largest * len(q) < 1e300:
+            total = table[0][self.packed[0]]
+            for b in range(1, len(self.packed)):
+                total += table[b][self.packed[b]]
+            first = np.argpartition(total, n - pool)[n - pool :]
+            direct = self.vectors[first].astype(np.float64) @ unit
+            other = self.ids[first] != asker
+            top = self._best(first[other], direct[other], k)[1]
+            if len(top) == k:
+                # How far sums were off, for rows anywhere and for those near the query.
+                off = [(self.probed @ unit - total[self.probes]) / self.reach[self.probes], (direct - total[first]) / self.reach[first]]
+                with np.errstate(all="ignore"):
+                    margin = SURE * max(0.5 / math.sqrt(len(q)), *(math.sqrt(float((x * x).mean())) for x in off))
+                    places = np.flatnonzero(~(total + np.float32(margin) * self.reach < np.float32(top[-1] - abs(top[-1]) * 1e-6)))
+                places = places[self.ids[places] != asker]
+                scores = np.concatenate([self.vectors[places[i : i + BLOCK_ROWS]].astype(np.float64) @ unit for i in range(0, len(places), BLOCK_ROWS)])
+                places = places[scores >= top[-1] - 1e-12 * self.largest * len(q) ** 1.5]  # rounding depends on the order of addition
+                best = self._best(places, self._exact(q, places), k)
+                if len(best[1]) == k and abs(best[1][-1]) > 1e-290:
+                    return best
+        places = np.flatnonzero(self.ids != asker)
+        return self._best(places, self._exact(q, places), k)
 
 
 def kept(n: int) -> int:
-    """How many candidates a query keeps in a table of ``n`` rows."""
+    """How many rows are reranked first for a query of a table of ``n`` rows."""
     return max(KEEP, math.ceil(KEEP * math.sqrt(n / KEEP_ROWS)))
 
 
@@ -175,75 +228,76 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, keep: int | None =
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
     book = Codebook(dim).fit(_scaled(_matrix(sample.column(0), dim)))
 
-    keep = kept(n) if keep is None else keep
+    # Single precision holds vectors that came in it; they are widened before they are multiplied.
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     query_blocks = -(-n_queries // QUERIES_PER_BLOCK)
-    groups = -(-n // GROUP_ROWS)
-    ranges = min(query_blocks, -(-common.partitions(spark) // groups))
+    group_rows = max(1, min(GROUP_ROWS, GROUP_BYTES // (dim * np.dtype(kind).itemsize)))
+    groups = max(-(-n // group_rows), min(common.partitions(spark), -(-n // LEAST_ROWS)))
+    block_rows = max(64, min(BLOCK_ROWS, n // (4 * groups)))
+    pool = max(4 * k, -(-(kept(n) if keep is None else keep) // groups))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() * 7919  # blocks go to the groups in turn, from another one in each task
         for batch in batches:
-            if batch.num_rows:
-                x = _scaled(_matrix(batch.column(1), dim))
-                ids = batch.column(0).to_numpy(zero_copy_only=False).astype("<i8")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()]), pa.array([book.packed(book.encode(x)).tobytes()])], names=["ids", "codes"])
+            for i in range(0, batch.num_rows, block_rows):
+                ids = batch.column(0).slice(i, block_rows).to_numpy(zero_copy_only=False).astype("<i8")
+                exact = _matrix(batch.column(1).slice(i, block_rows), dim)
+                codes = book.encode(_scaled(exact))
+                held = (ids, book.packed(codes), _reach(book, exact, codes).astype("<f4"), exact.astype(kind))
+                yield pa.RecordBatch.from_arrays([pa.array([at % groups], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in held]], schema=_CODED)
+                at += 1
 
     def asked(part: pa.Table) -> pa.Table:
         q = _matrix(part.column("embedding").combine_chunks(), dim).astype("<f8")
         ids = part.column("vec_id").to_numpy().astype("<i8")
         return pa.table({"qb": [part.column("qb")[0].as_py()], "queries": [ids.tobytes()], "vectors": [q.tobytes()]}, schema=_ASKED)
 
-    blocks = common.stage(rows.select("vec_id", "embedding").mapInArrow(coded, "ids binary, codes binary"), "ann-codes")
+    blocks = common.stage(rows.select("vec_id", "embedding").mapInArrow(coded, "g long, ids binary, codes binary, reach binary, vectors binary"), "ann-codes")
     asks = rows.filter("asks").select("vec_id", "embedding", F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(query_blocks)).cast("int").alias("qb"))
     asks = common.stage(asks.groupBy("qb").applyInArrow(asked, "qb int, queries binary, vectors binary"), "ann-queries")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, codes = None, [], []
+        at, parts, group = None, [], None
         for batch in batches:
             for row in range(batch.num_rows):
-                cell, kind = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
-                if cell != at:
-                    at, ids, codes = cell, [], []
-                named = np.frombuffer(batch.column(2)[row].as_buffer(), "<i8").copy()
-                if kind == 0:
-                    ids.append(named)
-                    codes.append(np.frombuffer(batch.column(3)[row].as_buffer(), np.uint8).reshape(-1, len(named)).copy())
-                elif ids:
-                    if len(ids) > 1:
-                        ids, codes = [np.concatenate(ids)], [np.concatenate(codes, 1)]
-                    q = np.frombuffer(batch.column(3)[row].as_buffer(), "<f8").reshape(-1, dim)
-                    places, scores = scan(book, codes[0], q, keep + 1)
-                    yield _reported(named, ids[0][places], scores)
-
-    # A cell is a group of codes and a range of queries; its codes come first, then its queries stream by.
-    cell = lambda g, r: (g * ranges + r).cast("long").alias("cell")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = blocks.select(F.pmod(F.monotonically_increasing_id(), F.lit(groups)).alias("g"), each(ranges).alias("r"), "ids", "codes")
-    sent = asks.select(each(groups).alias("g"), F.pmod("qb", F.lit(ranges)).alias("r"), "queries", "vectors")
-    cells = held.select(cell(F.col("g"), F.col("r")), F.lit(0).alias("kind"), F.col("ids").alias("a"), F.col("codes").alias("b"))
-    cells = cells.unionByName(sent.select(cell(F.col("g"), F.col("r")), F.lit(1).alias("kind"), F.col("queries").alias("a"), F.col("vectors").alias("b")))
-    cells = cells.repartitionByRange(groups * ranges, "cell").sortWithinPartitions("cell", "kind")
-    found = cells.mapInArrow(scanned, "query_id long, vec_id long, estimate float")
-    near = Window.partitionBy("query_id").orderBy(F.desc("estimate"), "vec_id")
-    found = found.withColumn("n", F.row_number().over(near)).filter(F.col("n") <= keep).select("query_id", "vec_id")
-    found = common.stage(found.distinct(), "ann-candidates")
-
-    known = rows.select("vec_id", "embedding")
-    exact = found.join(known.withColumnRenamed("embedding", "v"), "vec_id")
-    exact = exact.join(known.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = exact.select("query_id", "vec_id", score.alias("score")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+                read = lambda c, kind: np.frombuffer(batch.column(c)[row].as_buffer(), kind)  # noqa: B023, E731
+                if batch.column(0)[row].as_py() != at:
+                    at, parts, group = batch.column(0)[row].as_py(), [], None
+                if batch.column(1)[row].as_py() == 0:
+                    ids = read(2, "<i8").copy()
+                    parts.append((ids, read(3, np.uint8).reshape(-1, len(ids)).copy(), read(4, "<f4").copy(), read(5, kind).reshape(-1, dim).copy()))
+                    continue
+                if group is None and parts:
+                    ids, codes, reach, held = zip(*parts, strict=True)
+                    group, parts = Group(book, np.concatenate(ids), np.concatenate(codes, 1), np.concatenate(reach), np.concatenate(held)), []
+                    del ids, codes, reach, held
+                if group is not None:
+                    queries, q = read(2, "<i8"), read(5, "<f8").reshape(-1, dim)
+                    found = [group.near(i, v, table, k, pool) for i, v, table in zip(queries.tolist(), q, book.tables(_directions(q)), strict=True)]
+                    places, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+                    asker = np.repeat(queries, [len(x[0]) for x in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(asker), pa.array(group.ids[places]), pa.array(scores)], names=["query_id", "vec_id", "score"])
+
+    # A cell is a group of rows; its blocks come first, then all queries stream by.
+    nothing = F.lit(None).cast("binary")
+    cells = blocks.select(F.col("g").alias("cell"), F.lit(0).alias("kind"), F.col("ids").alias("a"), "codes", "reach", "vectors")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("cell")
+    cells = cells.unionByName(asks.select(each, F.lit(1).alias("kind"), F.col("queries").alias("a"), nothing.alias("codes"), nothing.alias("reach"), "vectors"))
+    cells = cells.repartitionByRange(groups, "cell").sortWithinPartitions("cell", "kind")
+    found = cells.mapInArrow(scanned, "query_id long, vec_id long, score double")
+    scored = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+_CODED = pa.schema([("g", pa.int64()), *[(c, pa.binary()) for c in ("ids", "codes", "reach", "vectors")]])
 _ASKED = pa.schema([("qb", pa.int32()), ("queries", pa.binary()), ("vectors", pa.binary())])
 
 
-def _reported(queries: np.ndarray, found: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    asker = np.repeat(queries, found.shape[1])
-    found, scores = found.ravel(), scores.ravel()
-    own = asker != found
-    return pa.RecordBatch.from_arrays([pa.array(asker[own]), pa.array(found[own]), pa.array(scores[own])], names=["query_id", "vec_id", "estimate"])
+def _directions(q: np.ndarray) -> np.ndarray:
+    """Queries of length 1, which have the order of their own length's scores."""
+    unit = q / np.abs(q).max(1, keepdims=True)
+    return (unit / np.sqrt((unit * unit).sum(1, keepdims=True))).astype(np.float32)
 
 
 def query_ids(vec_id: Column) -> Column:

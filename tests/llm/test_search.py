@@ -185,6 +185,52 @@ def test_recall_and_exact_scores(spark, monkeypatch, group_rows):
     assert hits / (150 * 20) >= 0.95
 
 
+def _spread(kind, rng, n, dim):
+    x = rng.normal(size=(n, dim))
+    if kind == "close clusters":
+        return rng.normal(size=(4, dim))[rng.integers(0, 4, n)] + 0.002 * x
+    if kind == "lengths of many orders":
+        return x * np.exp(2 * rng.normal(size=(n, 1)))
+    if kind == "few directions":
+        return x * np.exp(-np.arange(dim) / 3)
+    return x * np.where(np.arange(n) % 7, 1e-30, 1e30)[:, None]
+
+
+@pytest.mark.parametrize("kind", ["close clusters", "lengths of many orders", "few directions", "far scales"])
+def test_recall_on_rows_that_codes_tell_little_of(spark, kind):
+    n, dim = 9000, 32
+    x = _spread(kind, np.random.default_rng(3), n, dim)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    asks = df["vec_id"] % 100 == 0
+    found = {}
+    for r in ann.search(df, asks, keep=20).collect():
+        found.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    hits = 0
+    for q in range(0, n, 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        last = np.sort(s)[-20]
+        assert len(found[q]) == 20 and all(a == pytest.approx(s[i], rel=1e-9, abs=1e-12 * abs(last)) for a, i in found[q])
+        hits += sum(a >= last - 1e-9 * abs(last) for a, _ in found[q])
+    assert hits / (20 * n / 100) >= 0.99
+
+
+def test_close_clusters_with_as_many_candidates_as_the_rule_keeps(spark):
+    n = 12000
+    x = _spread("close clusters", np.random.default_rng(5), n, 16)
+    df = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    got = ann.search(df, df["vec_id"] % 200 == 0).groupBy("query_id").min("score").collect()
+    assert len(got) == 60 and all(r[1] >= np.sort(np.delete(x @ x[r[0]], r[0]))[-20] - 1e-9 for r in got)
+
+
+def test_an_id_that_fills_the_first_candidates(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0, [1.0, 0.0])] + [(1, [9.0, float(y)]) for y in rng.normal(size=9000)] + [(i, [float(i), 1.0]) for i in range(2, 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, df["vec_id"] == 0, k=5).orderBy("rank").collect()]
+    assert got == [(1, 1, 9.0), (2, 7, 7.0), (3, 6, 6.0), (4, 5, 5.0), (5, 4, 4.0)]
+
+
 def test_more_candidates_are_kept_of_larger_tables():
     assert [ann.kept(n) for n in (10, 50_000, 200_000, 5_000_000)] == [400, 400, 800, 4000]
 
