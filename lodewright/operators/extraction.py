@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions.text import json_object
 from ..schema import ENTITY_TYPES
-from ..staging import stage
+from ..staging import spread, stage
 from . import lexicon, models
 
 MIN_TEXT = 40
 MAX_NAME = 60
+#: Regions that a task takes at a time; it holds some ten mentions of each.
+TASK_REGIONS = 50_000
 
 
 def node_id(kind: Column, name: Column) -> Column:
@@ -24,13 +26,18 @@ def _named(raw: Column) -> Column:
     return F.btrim(F.regexp_replace(raw, r"\s+", " "), F.lit(" .,;:"))
 
 
+def _usable(regions: DataFrame) -> DataFrame:
+    text = F.trim("text")
+    return regions.filter(F.length(text) >= MIN_TEXT).select("region_id", text.alias("text"))
+
+
 def mentions(regions: DataFrame) -> DataFrame:
     """(region_id, entity_type, ord, name, node_id), the first mention of each node in a region.
 
     ``ord`` orders mentions as found: methods by pattern, metrics, figure references, datasets, findings.
+    Regions are dealt by their id before they are opened, so that mentions meet where they are found, some at a time.
     """
-    text = F.trim("text")
-    base = regions.filter(F.length(text) >= MIN_TEXT).select("region_id", text.alias("text"))
+    base = spread(_usable(regions), "region_id", rows=TASK_REGIONS)
     found = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
     groups = [("method", found(p, 0)) for p in lexicon.METHOD_PATTERNS]
     groups += [("metric", found(lexicon.METRIC_PATTERN, 1)), ("figure_ref", found(lexicon.FIGURE_PATTERN, 0)), ("dataset", found(lexicon.DATASET_PATTERN, 1))]
@@ -52,11 +59,9 @@ def relations(regions: DataFrame, found: DataFrame) -> DataFrame:
     pair = lambda heads, tails, name: heads.alias("h").join(tails.alias("t"), F.col("h.region_id") == F.col("t.region_id")).select(
         F.col("h.node_id").alias("head"), F.col("t.node_id").alias("tail"), F.lit(name).alias("relation_type"), F.col("h.region_id").alias("source_region_id")
     )
-    text = F.trim("text")
     metric = F.regexp_extract_all("text", F.lit(lexicon.FINDING_PATTERN), F.lit(1))
     value = F.regexp_extract_all("text", F.lit(lexicon.FINDING_PATTERN), F.lit(2))
-    stated = regions.filter(F.length(text) >= MIN_TEXT).select("region_id", text.alias("text"))
-    stated = stated.select("region_id", F.explode(F.arrays_zip(metric.alias("m"), value.alias("v"))).alias("f"))
+    stated = spread(_usable(regions), "region_id", rows=TASK_REGIONS).select("region_id", F.explode(F.arrays_zip(metric.alias("m"), value.alias("v"))).alias("f"))
     name = _named(F.concat(F.col("f.m"), F.lit(" = "), F.trim(F.col("f.v"))))
     valued = stated.filter(F.length(name) <= MAX_NAME).select(
         F.concat(F.lit("metric:"), F.lower(F.trim("f.m"))).alias("head"),

@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import spread
 from . import checks
 
+#: Mentions that a task sorts at a time.
+TASK_MENTIONS = 500_000
 MAX_ENTITIES, MIN_NAME, MAX_NAME, MAX_PATHS, MAX_EDGES = 5, 3, 60, 5, 20
 
 
@@ -19,6 +22,7 @@ def build_nodes(mentions: DataFrame, provenance: str = "first_only") -> DataFram
 
     ``first_only`` keeps the region of that mention, ``accumulate`` all regions in order.
     """
+    mentions = spread(mentions, "region_id", rows=TASK_MENTIONS)
     first = F.min(F.struct("region_id", "ord", "name", "entity_type"))
     regions = F.sort_array(F.collect_set("region_id")) if provenance == "accumulate" else F.array(F.col("m.region_id"))
     if provenance == "accumulate":

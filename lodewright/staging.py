@@ -40,6 +40,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return _write(df, name)[0]
 
 
+def spread(df: DataFrame, *by: str, rows: int, n: int | None = None) -> DataFrame:
+    """``df`` dealt by its columns ``by`` into tasks of about ``rows`` rows each, whatever its files are like; a smaller one is left as it is.
+
+    For steps whose memory follows from the rows of a task.  Rows (``n``) are counted if they are not given: read from staged tables, this is cheap.
+    """
+    n = df.count() if n is None else n
+    return df if n <= rows else df.repartition(max(-(-n // rows), df.sparkSession.sparkContext.defaultParallelism), *by)
+
+
 class Scratch:
     """Staged tables that nothing reads once the block that opened this is left; they are deleted then."""
 

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodewright.conf import Chunking, Settings, SettingsError
 from lodewright.operators import evidence, extraction, graph, models, questions, regions
@@ -193,3 +194,20 @@ def test_a_settings_file_of_all_sections(tmp_path):
     )
     s = Settings.load(tmp_path / "s.yaml")
     assert (s.paths.data_dir, s.models.embed_batch_size, s.kg.max_regions_for_extraction, s.eval.judge_sample_size) == ("d", 8, 9, 4)
+
+
+def test_graph_steps_hold_some_regions_at_a_time(spark, monkeypatch):
+    text = "We train a CNN on the Atlas9 dataset; the recall of %d.5%% is given in Table %d."
+    rows = [(f"R{i // 2:04d}", text % (i % 90, i % 7)) for i in range(2000)]  # two rows for each id
+    one_file = spark.createDataFrame(rows, "region_id string, text string").coalesce(1)
+    whole = sorted(map(str, extraction.mentions(one_file).collect()))
+    monkeypatch.setattr(extraction, "TASK_REGIONS", 100, raising=False)
+    monkeypatch.setattr(graph, "TASK_MENTIONS", 500, raising=False)
+    found = extraction.mentions(one_file)
+    assert sorted(map(str, found.collect())) == whole
+    by_task = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) >= 10 and max(by_task) <= len(whole) / 5
+    nodes = {r["id"]: r["source_region_ids"] for r in graph.build_nodes(found).collect()}
+    assert nodes["method:cnn"] == ["R0000"] and nodes["finding:recall = 89.5%"] == ["R0044"]
+    edges = graph.build_edges(extraction.relations(one_file, found), graph.build_nodes(found), "last").collect()
+    assert {(r["head"], r["tail"]): r["source_region_id"] for r in edges}["method:cnn", "metric:recall"] == "R0999"
