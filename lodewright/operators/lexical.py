@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..staging import stage
+from ..staging import spread, stage
 from . import checks
 
 K1, B = 1.5, 0.75
 MAX_BROADCAST = 1_000_000
+#: Pairs of a query and a document that a task scores at a time, and documents that it takes at least.
+TASK_PAIRS, TASK_DOCS = 1_000_000, 1000
 
 
 def term_frequencies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -47,7 +49,8 @@ def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: st
     """(query_id, id, score) of documents that share a term with a query of (query_id, question); repeated terms count again.
 
     Texts are tokenised once, into a staged table.  Documents are then dealt by their id, and with query terms that may be
-    broadcast, postings and scores add up where a document lies: nothing else is shuffled.
+    broadcast, postings and scores add up where a document lies: nothing else is shuffled.  A task holds up to all queries
+    with each of its documents, so it takes fewer documents as queries grow.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = stage(asked, "lexical-terms")
@@ -57,8 +60,9 @@ def scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", text: st
     df = sized.select(F.explode(F.array_distinct("tokens")).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weighted = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "times", "avgdl", _idf().alias("idf"))  # stats is one row
     weighted = _few(stage(weighted, "lexical-weights"))
+    rows = max(TASK_DOCS, TASK_PAIRS // max(1, asked.select("query_id").distinct().count()))
     postings = (
-        sized.repartition(F.col(id_col))
+        spread(sized.repartition(F.col(id_col)), id_col, rows=rows, n=sized.count())
         .select(id_col, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
         .join(wanted, "term", "left_semi")
         .groupBy(id_col, "dl", "term")

@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
+from lodewright.functions import embedders
 from lodewright.functions.embedders import embedded, hashing
 from lodewright.operators import checks, dense, fusion, lexical, metrics
 
@@ -131,3 +134,34 @@ def test_interval(spark):
     got = {r["s"]: tuple(r)[1:] for r in metrics.interval(df, "v", "s").collect()}
     assert got["a"] == (5, 0.8, 0.6614, 0.9386)
     assert got["b"] == (1, 0.5, 0.5, 0.5)
+
+
+def test_embedder_takes_texts_by_bytes_and_forgets_words(spark, monkeypatch):
+    monkeypatch.setattr(embedders, "SLICE_BYTES", 100, raising=False)
+    monkeypatch.setattr(embedders, "KNOWN_WORDS", 10, raising=False)
+    seen = []
+
+    def watched(texts):
+        seen.append(sum(len(t) for t in texts))
+        return embed(texts)
+
+    embed = hashing(16)()
+    texts = [f"one{i} two{i} three{i}" for i in range(60)] + ["", None, "x" * 300]
+    got = pa.concat_arrays(list(embedders._lists(pa.array(texts), watched))).to_pylist()
+    assert got == hashing(16)()([t or "" for t in texts]).tolist() and len(got) == len(texts)
+    assert len(seen) > 10 and max(seen[:-1]) <= 100
+    assert len(embed.__closure__[-1].cell_contents.__closure__[-1].cell_contents) <= 11
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["v"] for r in df.select(embedded(F.col("t"), hashing(16)).alias("v")).collect()] == got
+
+
+def test_scores_hold_some_pairs_of_query_and_document_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"D{i:04d}", f"common word{i % 50} text{i % 7}") for i in range(2000)], "doc_id string, text string").coalesce(1)
+    asked = spark.createDataFrame([(f"Q{i:02d}", f"common word{i}") for i in range(20)], "query_id string, question string")
+    whole = {(r["query_id"], r["doc_id"]): r["score"] for r in lexical.scores(docs, asked).collect()}
+    monkeypatch.setattr(lexical, "TASK_PAIRS", 4000, raising=False)
+    monkeypatch.setattr(lexical, "TASK_DOCS", 10, raising=False)
+    scored = lexical.scores(docs, asked)
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in scored.collect()} == pytest.approx(whole, rel=1e-12) and len(whole) == 40_000
+    by_task = [r["count"] for r in scored.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(by_task) <= 2 * 4000
