@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import checks
+from .lexical import _few
 
 
 def per_question(log: DataFrame, k_values: Sequence[int] = (1, 3, 5, 10), keys: Sequence[str] = ("system", "qa_id", "query_type")) -> DataFrame:
@@ -65,9 +66,13 @@ def deltas(report: DataFrame, baseline: str, enhanced: str, primary_k: int = 5)
 
 
 def citation_validity(cited: DataFrame, known: DataFrame, *by: str) -> DataFrame:
-    """Mean share of known ids among an answer's citations, over answers that cite: from (answer_id, citations) and (id)."""
+    """Mean share of known ids among an answer's citations, over answers that cite: from (answer_id, citations) and (id).
+
+    Known ids may be very many, so only those that are cited are made distinct.
+    """
     each = cited.select(*by, "answer_id", F.explode("citations").alias("id"))
-    marked = each.join(known.select("id").distinct().withColumn("known", F.lit(1)), "id", "left")
+    met = known.select("id").join(_few(each.select("id").distinct()), "id", "left_semi").distinct()
+    marked = each.join(met.withColumn("known", F.lit(1)), "id", "left")
     share = marked.groupBy(*by, "answer_id").agg((F.count("known") / F.count(F.lit(1))).alias("share"))
     return share.groupBy(*by).agg(F.count(F.lit(1)).alias("n_citing"), F.avg("share").alias("citation_validity"))
 

@@ -77,3 +77,11 @@ def test_headline_results_need_a_model():
     with pytest.raises(SettingsError):
         evaluation.refuse_stub(Settings())
     evaluation.refuse_stub(Settings(), allow_stub=True)
+
+
+def test_answers_of_texts_alone_build_no_graph(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("the graph is not needed")
+
+    monkeypatch.setattr(catalog_systems.extraction, "mentions", refuse)
+    assert catalog_systems.eval_answers(spark, DATA).count() == 1
