@@ -149,14 +149,18 @@ def window_chunks(regions: DataFrame, settings: Chunking = Chunking(), min_ocr_c
     parts = F.sort_array(F.collect_list(F.struct("start", "end", "region_id", "text")))
     pages = spans(regions, min_ocr_chars).groupBy("doc_id", "page_id").agg(parts.alias("parts"))
     pages = pages.withColumn("whole", F.array_join(F.transform("parts", lambda p: p["text"]), " "))
+    pages = pages.withColumn("parts", F.transform("parts", lambda p: p.dropFields("text")))
     starts = F.sequence(F.lit(0), F.greatest(F.lit(1), F.length("whole")) - 1, F.lit(step))
-    cut = pages.select("*", F.posexplode(starts).alias("i", "from"))
-    cut = cut.withColumn("window", F.substring("whole", F.col("from") + 1, F.lit(settings.window_chars)))
-    cut = cut.withColumn("to", F.col("from") + F.length("window")).filter(F.length(F.trim("window")) >= settings.min_chunk_chars)
-    touched = F.expr("transform(filter(parts, p -> p.start < to and p.end > from), p -> p.region_id)")
-    return cut.select(
-        F.format_string("%s_%s#w%03d", "doc_id", "page_id", "i").alias("chunk_id"), "doc_id", "page_id", F.trim("window").alias("text"), touched.alias("source_region_ids")
+    # Windows are cut before they are opened: a row of a window carries neither its page's text nor its page's spans.
+    cut = F.transform(starts, lambda f, i: F.struct(i.alias("i"), f.alias("from"), F.substring(F.col("whole"), f + 1, F.lit(settings.window_chars)).alias("window")))
+    cut = pages.withColumn("windows", F.filter(cut, lambda w: F.length(F.trim(w["window"])) >= settings.min_chunk_chars))
+    touched = F.expr(
+        "transform(windows, w -> struct(w.i as i, trim(w.window) as text,"
+        " transform(filter(parts, p -> p.start < w.from + length(w.window) and p.end > w.from), p -> p.region_id) as source_region_ids))"
     )
+    opened = cut.select("doc_id", "page_id", F.explode(touched).alias("w"))
+    name = F.format_string("%s_%s#w%03d", "doc_id", "page_id", "w.i")
+    return opened.select(name.alias("chunk_id"), "doc_id", "page_id", F.col("w.text").alias("text"), F.col("w.source_region_ids").alias("source_region_ids"))
 
 
 def violations(regions: DataFrame, chunks: DataFrame) -> DataFrame:

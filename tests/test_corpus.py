@@ -211,3 +211,20 @@ def test_graph_steps_hold_some_regions_at_a_time(spark, monkeypatch):
     assert nodes["method:cnn"] == ["R0000"] and nodes["finding:recall = 89.5%"] == ["R0044"]
     edges = graph.build_edges(extraction.relations(one_file, found), graph.build_nodes(found), "last").collect()
     assert {(r["head"], r["tail"]): r["source_region_id"] for r in edges}["method:cnn", "metric:recall"] == "R0999"
+
+
+def test_rows_of_windows_carry_no_page(spark):
+    rows = [("D_0#r%03d" % i, "D", "0", "text", (0.0, 10.0 * i, 100.0, 9.0), f"line {i} " + "word " * 60, None, None) for i in range(40)]
+    found = regions.window_chunks(spark.createDataFrame(rows, REGIONS))
+
+    def nodes(plan):
+        yield plan
+        for i in range(plan.children().length()):
+            yield from nodes(plan.children().apply(i))
+
+    opened = [p for p in nodes(found._jdf.queryExecution().optimizedPlan()) if p.nodeName() == "Generate"]
+    assert opened and all("whole#" not in p.output().mkString(" ") and "parts#" not in p.output().mkString(" ") for p in opened)
+    whole = " ".join(r[5].strip() for r in rows)
+    got = found.orderBy("chunk_id").collect()
+    assert [r["text"] for r in got] == [whole[i : i + 900].strip() for i in range(0, len(whole), 750) if len(whole[i : i + 900].strip()) >= 40]
+    assert got[0]["source_region_ids"] == ["D_0#r000", "D_0#r001", "D_0#r002"]
